@@ -4,16 +4,36 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the executors' Python workers, once per application, so it need not be installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="barlake-"), "barlake.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path(root.name) / f.relative_to(root))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on: UTC and SQL-standard double quotes.
 
     Only runtime settings are touched, so a session handed over by a cluster
-    keeps its sizing.
+    keeps its sizing. The package is sent along for the Python workers.
     """
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
     return spark
