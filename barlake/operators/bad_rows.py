@@ -1,15 +1,15 @@
 """Rows that fail to parse, set apart with the reason while the valid ones load.
 
 A strict load keeps exactly the lines that conform; an anti-join on the record
-offset subtracts them from the raw lines; only that remainder is diagnosed. No
+offset (and the line, should offsets repeat) subtracts them from the raw lines; only that remainder is diagnosed. No
 line is lost or counted twice: loaded and remainder partition the input.
 
 Quotes are checked without a regular expression over the whole line, which could
 overflow the stack on long lines: the line is split at its quotes, and the parts
 outside quotes must join at commas.
 
-Defined cases: a null line is one empty line and fails on its column count; of
-lines with the same id all copies are judged alike; header lines are rows; an
+Defined cases: a null line is one empty line and fails on its column count; lines
+with a null or repeated id are judged each by itself; header lines are rows; an
 empty symbols table makes every otherwise sound line fail on its symbol.
 """
 
@@ -67,7 +67,7 @@ def _is_volume(v: Column) -> Column:
 
 def _read(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     parts = _parts(F.coalesce("line", F.lit("")))
-    read = lines.withColumn("_p", parts).withColumns({"_q": _quoting_holds(F.col("_p")), "_f": _fields(F.col("_p"))})
+    read = lines.select("line_id", "line").withColumn("_p", parts).withColumns({"_q": _quoting_holds(F.col("_p")), "_f": _fields(F.col("_p"))})
     known = symbols.where(F.col("symbol").isNotNull()).select(F.col("symbol").alias("_known")).distinct()
     if known.limit(SHIP_ROWS + 1).count() <= SHIP_ROWS:
         known = F.broadcast(known)
@@ -90,9 +90,17 @@ def strict_load(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Times without offset are UTC. Prices that are no number load as null.
     """
+    return _as_bars(_sound(lines, symbols))
+
+
+def _sound(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     sound = _read(lines, symbols)
     for _, holds in _rules():
         sound = sound.where(holds)
+    return sound
+
+
+def _as_bars(sound: DataFrame) -> DataFrame:
     number = lambda i: F.get("_f", F.lit(i)).try_cast("double")
     return sound.select(
         "line_id", F.expr("try_to_timestamp(replace(_f[0], ' ', 'T'))").cast("timestamp_ntz").alias("timestamp"), F.col("_s").alias("symbol"),
@@ -102,8 +110,9 @@ def strict_load(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def bad_lines(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """(line_id, reason): what the strict load left over, each with the first reason that applies."""
-    loaded = strict_load(lines, symbols).select("line_id")
-    rest = _read(lines.select("line_id", "line").join(loaded, "line_id", "left_anti"), symbols)
+    loaded = _sound(lines, symbols).select(F.col("line_id").alias("_id"), F.col("line").alias("_line"))
+    same = F.col("line_id").eqNullSafe(F.col("_id")) & F.col("line").eqNullSafe(F.col("_line"))
+    rest = _read(lines.select("line_id", "line").join(loaded, same, "left_anti"), symbols)
     reason = F.when(F.lit(False), "")
     for name, holds in _rules():
         reason = reason.when(~holds, name)

@@ -7,7 +7,7 @@ decomposed into dyadic time nodes (level, index), an event asks for all nodes
 that enclose its time, and exact half-open bounds are checked on what joins.
 
 Defined cases: rows without symbol, timestamp or arrival are never known; events
-without symbol or time find nothing; a null or NaN value of the known row means
+without symbol or time find nothing, events without id are left out of findings; a null or NaN value of the known row means
 none, it does not fall back to an older row; repeated rows differ in chunk and
 position, which decide last; empty tables give no attributes.
 """

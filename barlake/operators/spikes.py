@@ -6,8 +6,8 @@ movement; explicit physical limits apply beside it. Readings whose score
 reaches ``CANDIDATE`` are then judged by exact tests: a jump has to be left
 again at once, a stretch has to be longer than the source's stretches are.
 
-Defined cases: rows without symbol or timestamp have no source to compare with
-and are judged by the physical limits only; null and NaN values are missing and
+Defined cases: rows without symbol or timestamp have no place in a source's
+history and are judged by the physical limits only; null and NaN values are missing and
 never a fault; volume 0 is an untraded bar; deliveries repeated unchanged get
 the same verdict, and deliveries of the same time with other values are held
 against the same neighbours; an empty table gives an empty result; columns
@@ -16,8 +16,11 @@ beyond those needed are ignored.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +56,8 @@ def _median(windows: np.ndarray) -> np.ndarray:
     """Row medians that skip NaN; rows of NaN only give NaN."""
     ordered = np.sort(windows, axis=1)
     n = np.sum(~np.isnan(ordered), axis=1)
-    at = np.arange(len(ordered))
-    mid = 0.5 * (ordered[at, np.maximum(n - 1, 0) // 2] + ordered[at, n // 2 - (n == windows.shape[1]) * 0 if windows.shape[1] > 1 else 0])
+    at, last = np.arange(len(ordered)), windows.shape[1] - 1
+    mid = 0.5 * (ordered[at, np.maximum(n - 1, 0) // 2] + ordered[at, np.minimum(n // 2, last)])
     return np.where(n > 0, mid, np.nan)
 
 
@@ -161,10 +164,8 @@ def judge(seq: np.ndarray, us: np.ndarray, o: np.ndarray, h: np.ndarray, l: np.n
     # Wicks: the high above, the low below everything else the bar shows.
     sig = usual[of]
     with np.errstate(all="ignore"):
-        import warnings
-
         with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
+            warnings.simplefilter("ignore", RuntimeWarning)
             body_top, body_low = np.nanmax([lo, lc], axis=0), np.nanmin([lo, lc], axis=0)
     wick_hi, wick_lo = (np.where(bad, 0.0, np.nan_to_num(x)) / sig for x in (lh - body_top, body_low - ll))
 
@@ -202,8 +203,10 @@ def judge(seq: np.ndarray, us: np.ndarray, o: np.ndarray, h: np.ndarray, l: np.n
 
 def _group(flagged_only: bool):
     def run(table: pa.Table) -> pa.Table:
-        names = ["ingest_seq", "_us", "open", "high", "low", "close", "volume"]
-        seq, us, o, h, l, c, v = (table[k].to_numpy() for k in names)
+        names = ["_us", "open", "high", "low", "close", "volume"]
+        table = table.combine_chunks()
+        seq = pc.fill_null(table["ingest_seq"], -1).to_numpy()
+        us, o, h, l, c, v = (table[k].to_numpy() for k in names)
         bad, own = table["_bad"].to_numpy(), table["_own"].to_numpy()
         order = np.lexsort((seq, us))
         got = judge(*(x[order] for x in (seq, us, o, h, l, c, v)), bad[order], seed=len(table))
@@ -211,8 +214,10 @@ def _group(flagged_only: bool):
         if flagged_only:
             keep = keep & (got["impossible"] | got["spike"] | got["stuck"])
         at = np.flatnonzero(keep)
-        symbol = table["symbol"][0].as_py()
-        return pa.table({"ingest_seq": seq[order][at], "symbol": pa.array([symbol] * len(at), pa.string()), **{k: got[k][at] for k in ("score", "impossible", "spike", "stuck")}})
+        back = table.select(["ingest_seq", "symbol"]).take(pa.array(order[at]))
+        for k in ("score", "impossible", "spike", "stuck"):
+            back = back.append_column(k, pa.array(got[k][at]))
+        return back
 
     return run
 
