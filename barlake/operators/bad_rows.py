@@ -43,7 +43,8 @@ def _quoting_holds(parts: Column) -> Column:
 def _fields(parts: Column) -> Column:
     """Field values without white space around them; doubled quotes become one."""
     n = F.size(parts)
-    shown = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.translate(p, ",", COMMA)).when((p == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(p))
+    between = F.transform(F.slice(parts, 2, F.greatest(n - 2, F.lit(0))), lambda p, i: F.when(i % 2 == 0, F.translate(p, ",", COMMA)).when(p == "", F.lit('"')).otherwise(p))
+    shown = F.when(n > 1, F.concat(F.slice(parts, 1, 1), between, F.slice(parts, -1, 1))).otherwise(parts)
     cut = F.split(F.array_join(shown, ""), ",", -1)
     return F.transform(cut, lambda v: F.regexp_replace(F.translate(v, COMMA, ","), r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
 

@@ -55,7 +55,7 @@ def load_bars(spark: SparkSession, path: str) -> DataFrame:
     """A merged file of many symbols: timestamp, symbol, values, ``ingest_seq``; other columns are kept."""
     df = read_csv(spark, path)
     validate.require_columns(df.columns, ["timestamp", "symbol", *VALUES])
-    df = _typed(df).persist()
+    df = _typed(df)
     validate.require_unique(df)
     validate.require_order(df)
     return validate.validate_schema(df)
@@ -65,7 +65,7 @@ def load_single(spark: SparkSession, path: str) -> DataFrame:
     """A file of one symbol, without a symbol column, in order of time."""
     df = read_csv(spark, path)
     validate.require_columns(df.columns, ["timestamp", *VALUES])
-    df = _typed(df).persist()
+    df = _typed(df)
     validate.require_unique(df, ("timestamp",))
     validate.require_order(df.withColumn("symbol", F.lit("")))
     return df
