@@ -79,14 +79,16 @@ class BarStore:
 
     def state(self, as_of: datetime | None = None, predicate: Predicate | None = None) -> DataFrame:
         """The anti-join plan. Versions are resolved if a time is given or the table has corrections, else base rows are shown as they are."""
-        corrections = self.corrections
+        # Where keys are unique, corrections that turn out empty change nothing, so they need not be looked at first.
+        corrections = self._corrections if self._unique else self.corrections
         unique = True if as_of is None and corrections is None else self.base_unique
         return asof.visible(self._plain(), corrections, self.time(as_of), predicate, unique).select("timestamp", "symbol", *self.value_columns)
 
     def state_by_window(self, as_of: datetime | None = None, predicate: Predicate | None = None) -> DataFrame:
-        if as_of is None and not self.has_corrections:
+        corrections = self._corrections if self._unique else self.corrections
+        if as_of is None and corrections is None:
             return asof.visible(self._plain(), None, None, predicate).select("timestamp", "symbol", *self.value_columns)
-        return asof.visible_by_window(self._plain(), self.corrections, self.time(as_of), predicate).select("timestamp", "symbol", *self.value_columns)
+        return asof.visible_by_window(self._plain(), corrections, self.time(as_of), predicate).select("timestamp", "symbol", *self.value_columns)
 
     def chunked_base(self) -> DataFrame:
         return self.base if "chunk_start" in self.base.columns else cut(self.base, self.boundary)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -16,12 +17,13 @@ from barlake.plans.zonemap import Pushdown
 
 @dataclass
 class QueryResult:
-    """A lazy frame; counts and times are taken when asked for."""
+    """A lazy frame; counts, times and what pruning does are taken when asked for."""
 
     data: DataFrame
-    pushdown: Pushdown | None
-    stored_rows: DataFrame
+    store: BarStore
     predicate: Predicate
+    as_of: datetime | None
+    prunes: bool
     elapsed_seconds: float | None = field(default=None)
 
     @cached_property
@@ -31,29 +33,32 @@ class QueryResult:
         self.elapsed_seconds = time.perf_counter() - began
         return n
 
+    @cached_property
+    def pushdown(self) -> Pushdown | None:
+        return self.store.pushdown(self.predicate, self.as_of) if self.prunes else None
+
     @property
     def selectivity(self) -> float:
         """Share of the stored rows, superseded ones included."""
-        stored = self.stored_rows.first().total_rows
+        stored = self.store.stats().first().total_rows
         return self.row_count / stored if stored else 0.0
 
 
 class Engine:
     """Anti-join plan; value predicates reach the base scan. ``sort`` orders results by time and symbol."""
 
+    prunes = True
+
     def __init__(self, store: BarStore, sort: bool = True):
         self.store, self.sort = store, sort
 
     def _state(self, as_of, predicate) -> DataFrame:
         return self.store.state(as_of, predicate)
 
-    def _pushdown(self, predicate, as_of) -> Pushdown | None:
-        return self.store.pushdown(predicate, as_of)
-
     def execute(self, sql: str) -> QueryResult:
         predicate, as_of = parse(self.store.spark, sql)
         data = self._state(as_of, predicate)
-        return QueryResult(data.orderBy("timestamp", "symbol") if self.sort else data, self._pushdown(predicate, as_of), self.store.stats(), predicate)
+        return QueryResult(data.orderBy("timestamp", "symbol") if self.sort else data, self.store, predicate, as_of, self.prunes)
 
     def describe(self, sql: str) -> str:
         """The parsed condition and the physical plan, for reading."""
@@ -65,8 +70,7 @@ class Engine:
 class FullScanEngine(Engine):
     """Ranks all versions of all rows and filters last; prunes nothing."""
 
+    prunes = False
+
     def _state(self, as_of, predicate) -> DataFrame:
         return self.store.state_by_window(as_of, predicate)
-
-    def _pushdown(self, predicate, as_of) -> Pushdown | None:
-        return None
