@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from barlake.functions.forest import Forest
 from barlake.operators.timeshards import with_shards
 
-#: A forest score from which a reading is a candidate; the median reading stays below.
-CANDIDATE = 0.4
+#: A forest score from which a reading is a candidate, about that of the median reading: the exact tests decide, the forest must not lose a case.
+CANDIDATE = 0.38
 #: Jumps count from so many usual moves of the source (the larger of the whole history's and the surroundings').
-JUMP, WICK, BURST = 12.0, 14.0, 8.5
+JUMP, WICK, BURST = 12.0, 14.0, 8.0
+#: No source's log volumes are taken to vary less than this; so a burst is at least 25 times the volumes beside it.
+CALM_VOLUME = 0.4
 #: A price that differs from both sides by this factor is out of range whatever its neighbours are.
 FAR = np.log(3.0)
 #: No stretch of up to so many equal readings is ever called stuck.
@@ -175,7 +177,7 @@ def judge(seq: np.ndarray, us: np.ndarray, o: np.ndarray, h: np.ndarray, l: np.n
     burst, season = np.zeros(R), np.zeros(R)
     if len(traded):
         x = vl[traded]
-        mad = max(float(np.median(np.abs(x - np.median(x)))), 0.2)
+        mad = max(float(np.median(np.abs(x - np.median(x)))), CALM_VOLUME)
         burst[traded] = _two_sided(x) / mad
         hour = (us[rep][traded] // 3_600_000_000 % 24).astype(int)
         mid = np.array([np.median(x[hour == k]) if np.any(hour == k) else 0.0 for k in range(24)])
@@ -193,7 +195,7 @@ def judge(seq: np.ndarray, us: np.ndarray, o: np.ndarray, h: np.ndarray, l: np.n
         over[own] = (size > max(SHORT_RUN, 2 * typical)) & ~first
         stuck |= over[of] & (values == values[rep][of])
 
-    points = np.column_stack([level[of], jumps, wick_hi, wick_lo, bursts, season[of], run["c"] - 1, run["v"] - 1]).clip(-1e3, 1e3)
+    points = np.column_stack([level[of], jumps, wick_hi, wick_lo, bursts, season[of], 2 * run["c"] - 2, 2 * run["v"] - 2]).clip(-1e3, 1e3)
     pool = rep[np.argsort((seq[rep].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16), kind="stable")[:512]]
     score = Forest(points[pool], seed).score(points)
     ask = score >= CANDIDATE
