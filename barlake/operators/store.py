@@ -15,6 +15,9 @@ from barlake.plans.predicate import Predicate, literal
 from barlake.schema import VALUES
 from barlake.sources import validate
 
+#: From this size of the corrections, as a share of the base's, ranking all versions is cheaper than the anti-join.
+LATE_SHARE = 0.25
+
 Boundary = str | timedelta | Callable[[datetime, datetime], bool]
 
 
@@ -71,6 +74,12 @@ class BarStore:
             self._unique = validate.duplicate_keys(self.base).isEmpty()
         return self._unique
 
+    @cached_property
+    def _mostly_late(self) -> bool:
+        """By the sizes Catalyst estimates from file metadata; nothing is read."""
+        size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return size(self._corrections) > LATE_SHARE * size(self.base)
+
     def _plain(self) -> DataFrame:
         return self.base.drop("chunk_start")
 
@@ -78,9 +87,15 @@ class BarStore:
         return None if at is None else literal(at, self.base.schema["timestamp"].dataType)
 
     def state(self, as_of: datetime | None = None, predicate: Predicate | None = None) -> DataFrame:
-        """The anti-join plan. Versions are resolved if a time is given or the table has corrections, else base rows are shown as they are."""
+        """The anti-join plan, or the ranking plan for the current state of a table with many corrections.
+
+        Versions are resolved if a time is given or the table has corrections,
+        else base rows are shown as they are.
+        """
         # Where keys are unique, corrections that turn out empty change nothing, so they need not be looked at first.
         corrections = self._corrections if self._unique else self.corrections
+        if as_of is None and corrections is not None and self._mostly_late:
+            return self.state_by_window(None, predicate)
         unique = True if as_of is None and corrections is None else self.base_unique
         return asof.visible(self._plain(), corrections, self.time(as_of), predicate, unique).select("timestamp", "symbol", *self.value_columns)
 

@@ -61,7 +61,7 @@ def visible(base: DataFrame, corrections: DataFrame | None, as_of: Column | None
         return rows.where(cond)
     seen = (corrections if as_of is None else corrections.where(F.col("txn_time") <= as_of)).where(key_cond)
     keep = [c for c in base.columns if c in corrections.columns]
-    uncorrected = rows.join(seen.select(*KEY).distinct(), KEY, "left_anti").where(cond)
+    uncorrected = rows.join(seen.select(*KEY), KEY, "left_anti").where(cond)
     return uncorrected.select(*keep).unionByName(latest_corrections(seen).where(cond).select(*keep))
 
 
