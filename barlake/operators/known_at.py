@@ -49,8 +49,8 @@ def known_intervals(chunks: DataFrame) -> DataFrame:
     return ended.withColumn("known_to", to).where("known_from < known_to").select("symbol", "known_from", "known_to", "ts", "txn", "corr", "chunk_id", "row_pos", "close")
 
 
-def nodes_of_interval(start: Column, end: Column) -> Column:
-    """The fewest dyadic nodes (level, index) whose leaves cover [start, end)."""
+def nodes_of_interval(start: Column, end: Column, levels: int = LEVELS) -> Column:
+    """The fewest dyadic nodes (level, index) whose leaves cover [start, end); nodes above ``levels`` would not fit into it."""
     first, last = F.shiftright(start, LEAF_BITS), F.shiftright(end - 1, LEAF_BITS) + 1
 
     def at(level: Column) -> Column:
@@ -60,24 +60,29 @@ def nodes_of_interval(start: Column, end: Column) -> Column:
         odd = lambda x: F.pmod(x, F.lit(2)) == 1
         return F.when(lo < hi, F.array_compact(F.array(F.when(odd(lo), node(lo)), F.when(odd(hi) & ~(odd(lo) & (lo == hi - 1)), node(hi - 1))))).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
 
 
-def nodes_of_instant(at: Column) -> Column:
-    """All dyadic nodes that enclose an instant."""
+def nodes_of_instant(at: Column, levels: int = LEVELS) -> Column:
+    """All dyadic nodes up to ``levels`` that enclose an instant."""
     leaf = F.shiftright(at, LEAF_BITS)
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: F.struct(level.alias("level"), F.floor(leaf / F.pow(F.lit(2.0), level)).cast("long").alias("node")))
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda level: F.struct(level.alias("level"), F.floor(leaf / F.pow(F.lit(2.0), level)).cast("long").alias("node")))
 
 
 def known_close(events: DataFrame, chunks: DataFrame, event_id: str = "signal_id", at: str = "decided_at") -> DataFrame:
     """(event_id, known_close): null where nothing was known. Every event comes back once, so ids must be unique.
 
     Event keys carry the time node, so the rows of a hot symbol spread over time.
+    Intervals are clipped to the span of the events, which also bounds the levels
+    that can hold a node: a year of events asks for 10 keys each.
     """
-    spans = known_intervals(chunks)
-    spans = spans.withColumn("_n", F.explode(nodes_of_interval(F.col("known_from"), F.col("known_to")))).select("symbol", "_n.level", "_n.node", "known_from", "known_to", "ts", "txn", "corr", "chunk_id", "row_pos", "close")
     asks = events.where(F.col("symbol").isNotNull() & F.col(at).isNotNull()).select(F.col(event_id).alias("_id"), "symbol", _us(at).alias("_at"))
-    asks = asks.withColumn("_n", F.explode(nodes_of_instant(F.col("_at")))).select("_id", "symbol", "_at", "_n.level", "_n.node")
+    first, last = asks.agg(F.min("_at"), F.max("_at")).first()
+    first, last = (0, 0) if first is None else (first, last)
+    levels = min(((last >> LEAF_BITS) - (first >> LEAF_BITS) + 1).bit_length(), LEVELS)
+    spans = known_intervals(chunks).withColumns({"known_from": F.greatest("known_from", F.lit(first)), "known_to": F.least("known_to", F.lit(last + 1))}).where("known_from < known_to")
+    spans = spans.withColumn("_n", F.explode(nodes_of_interval(F.col("known_from"), F.col("known_to"), levels))).select("symbol", "_n.level", "_n.node", "known_from", "known_to", "ts", "txn", "corr", "chunk_id", "row_pos", "close")
+    asks = asks.withColumn("_n", F.explode(nodes_of_instant(F.col("_at"), levels))).select("_id", "symbol", "_at", "_n.level", "_n.node")
     met = asks.join(spans, ["symbol", "level", "node"]).where("known_from <= _at AND _at < known_to")
     best = met.groupBy("_id").agg(F.max_by("close", F.struct("ts", "txn", "corr", "chunk_id", "row_pos")).alias("known_close"))
     found = best.withColumn("known_close", F.when(~F.isnan("known_close"), F.col("known_close")))
