@@ -23,7 +23,7 @@ AMOUNT = "decimal(28,6)"
 
 def daily_amounts(rows: DataFrame, key: str = "symbol", ts: str = "timestamp", value: str = "volume", version: str = "ingest_seq") -> DataFrame:
     """(key, day, amount): superseded deliveries out, both steps partly aggregated before their shuffle."""
-    last = rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(key, ts).agg(F.max_by(F.struct(value), version)[value].alias("_v"))
+    last = rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(key, ts).agg(F.max_by(value, version).alias("_v"))
     amount = F.when(F.isnan("_v") | (F.abs("_v") == float("inf")), 0.0).otherwise(F.coalesce("_v", F.lit(0.0))).cast(AMOUNT)
     return last.groupBy(key, F.to_date(ts).alias("day")).agg(F.sum(amount).cast(AMOUNT).alias("amount"))
 

@@ -28,14 +28,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on: UTC and SQL-standard double quotes.
+    """Pin what results depend on, UTC, and send the package along for the Python workers.
 
-    Only runtime settings are touched, so a session handed over by a cluster
-    keeps its sizing. The package is sent along for the Python workers.
+    No other setting is touched, so a session handed over by a cluster keeps its sizing.
     """
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
     return spark
 
 
