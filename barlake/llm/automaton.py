@@ -34,12 +34,11 @@ def byte_alphabet() -> dict[str, int]:
 
 @dataclass
 class Tables:
-    """What the gadgets leave: ids of byte strings, a trie over them, and per token the chains at both edges."""
+    """What the gadgets leave: ids of byte strings, a trie over them (byte -> node, token or -1), and per token the chains at both edges."""
 
     ids: dict[bytes, int]
     labels: list[bytes]
-    trie: dict[int, int]
-    final: dict[int, int]
+    trie: list[dict[int, tuple[int, int]]]
     removed: dict[int, int]
     heads: list[tuple[tuple[int, int], ...]]
     tails: list[tuple[tuple[int, int], ...]]
@@ -72,20 +71,16 @@ def compile_merges(vocabulary_path: str) -> Tables:
         # w's state inherits what leaves v's state, and w's arc what leads along u's: until this rank, from then on as w.
         heads[w] = tuple((x, min(end, rank)) for x, end in heads[u]) + ((w, NEVER),)
         tails[w] = tuple((x, min(end, rank)) for x, end in tails[v]) + ((w, NEVER),)
-    trie: dict[int, int] = {}
-    final: dict[int, int] = {}
-    nodes = 1
+    trie: list[dict[int, tuple[int, int]]] = [{}]
     for t, i in ids.items():
         node = 0
-        for b in t:
-            key = (node << 8) | b
-            nxt = trie.get(key)
-            if nxt is None:
-                nxt = trie[key] = nodes
-                nodes += 1
+        for at, b in enumerate(t, 1):
+            nxt, token = trie[node].get(b, (len(trie), -1))
+            if nxt == len(trie):
+                trie.append({})
+            trie[node][b] = (nxt, i if at == len(t) else token)
             node = nxt
-        final[node] = i
-    return Tables(ids, labels, trie, final, removed, heads, tails)
+    return Tables(ids, labels, trie, removed, heads, tails)
 
 
 class Automaton:
@@ -122,42 +117,48 @@ class Automaton:
         whole = self.t.ids.get(word)
         if whole is not None:
             return (whole,)
-        trie, final = self.t.trie, self.t.final
-        n = len(word)
-        choices: list[list[tuple[int, int]]] = []
+        trie, arcs, has_arc = self.t.trie, self.arcs, self.has_arc
+        n, at, last = len(word), 0, -1
         path: list[int] = []
         ends: list[int] = [0]
-        dead = bytearray(n + 1)
-        while ends[-1] < n:
-            at = ends[-1]
-            if len(choices) == len(path):
-                node, found = 0, []
+        choices: list[list[tuple[int, int]]] = []
+        dead: set[int] = set()
+        moved = True
+        while at < n:
+            if moved:
+                node, options = 0, []
                 for i in range(at, n):
-                    nxt = trie.get((node << 8) | word[i])
-                    if nxt is None:
+                    step = trie[node].get(word[i])
+                    if step is None:
                         break
-                    node = nxt
-                    token = final.get(node)
-                    if token is not None:
-                        found.append((i + 1, token))
-                choices.append(found)
-            options = choices[-1]
-            step = None
+                    node, token = step
+                    if token >= 0:
+                        options.append((i + 1, token))
+                choices.append(options)
+            else:
+                options = choices[-1]
+            moved = False
             while options:
                 end, token = options.pop()
-                if not dead[end] and (not path or self.has_arc(path[-1], token)):
-                    step = end, token
-                    break
-            if step is None:
+                if end in dead:
+                    continue
+                if last >= 0:
+                    open_ = arcs.get((last << 20) | token)
+                    if not (has_arc(last, token) if open_ is None else open_):
+                        continue
+                path.append(token)
+                ends.append(end)
+                at, last, moved = end, token, True
+                break
+            if not moved:
+                # A prefix has one accepted reading, so a place that leads nowhere leads nowhere however it is reached.
                 if not path:
                     raise ValueError("the vocabulary misses a byte")
-                dead[at] = 1
+                dead.add(at)
                 choices.pop()
                 path.pop()
                 ends.pop()
-            else:
-                ends.append(step[0])
-                path.append(step[1])
+                at, last = ends[-1], path[-1] if path else -1
         return tuple(path)
 
     def decode(self, ids: list[int]) -> bytes:
