@@ -45,6 +45,7 @@ def _bucket(word: str) -> int:
 
 def prose_words(docs: DataFrame, lang: str = "en") -> DataFrame:
     """(doc_id, words): the word buckets of each document's text cells, in order; documents without any are left out."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     cells = F.transform(F.filter("cells", lambda c: (c.cell_type == "text") & (c.start_char >= 0) & (c.n_chars > 0)), lambda c: F.struct(c.start_char.alias("a"), c.n_chars.alias("n")))
     picked = docs.where((F.col("lang") == lang) & F.col("text").isNotNull() & F.col("cells").isNotNull()).select("doc_id", "text", cells.alias("cells"))
 

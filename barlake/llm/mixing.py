@@ -30,7 +30,9 @@ from pyspark.sql.window import Window as W
 from barlake.llm.encode import VOCABULARY, count_tokens
 from barlake.session import cut_lineage
 
-BLOCKS, SHARDS, SEED = 256, 64, 20240401
+BLOCKS, SHARDS, SEED = 1024, 64, 20240401
+#: Beyond SHARDS shards of this size there are more of them, as long as each can get a block.
+SHARD_TOKENS = 200_000_000
 
 
 def _name(c: str):
@@ -61,7 +63,7 @@ def split_tree(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.concatenate([split_tree(part, left, rng), split_tree(counts - part, shards - left, rng)])
 
 
-def plan_mixture(sizes: dict[str, dict[int, int]], targets: list[tuple[str, str, float, int]], seed: int = SEED, shards: int = SHARDS):
+def plan_mixture(sizes: dict[str, dict[int, int]], targets: list[tuple[str, str, float, int]], seed: int = SEED, shards: int | None = None):
     """What each source gives: report rows, and (name, block, copy, shard) of every drawn block."""
     rng = np.random.default_rng(seed)
     total = sum(sum(v.values()) for v in sizes.values())
@@ -83,6 +85,7 @@ def plan_mixture(sizes: dict[str, dict[int, int]], targets: list[tuple[str, str,
     counts = np.array([len(d) for d in order], dtype=np.int64)
     placed: list[tuple[str, int, int, int]] = []
     if counts.sum():
+        shards = shards or int(min(max(SHARDS, sum(r[6] for r in report) // SHARD_TOKENS), max(SHARDS, counts.sum())))
         per_shard = split_tree(counts, shards, rng)
         for s, drawn in enumerate(order):
             shard_of = rng.permutation(np.repeat(np.arange(shards), per_shard[:, s]))
