@@ -136,6 +136,24 @@ class BarStore:
             raise KeyError(chunk_id)
         return rows
 
+    def column_arrays(self, chunk_id: int) -> dict:
+        """One chunk's columns as numpy arrays, in order of time."""
+        table = self.chunk(chunk_id).orderBy("timestamp").toArrow()
+        return {name: table[name].to_numpy() for name in table.column_names}
+
+    def without_chunks(self, chunk_ids: Sequence[int]) -> BarStore:
+        """A store without the named chunks; KeyError if one is unknown, and then nothing changes."""
+        ids = list(dict.fromkeys(chunk_ids))
+        base, late = self.chunked_base(), self.chunked_corrections()
+        named = lambda df: df if df is None or "chunk_id" in df.columns else df.withColumn("chunk_id", chunking.chunk_key())
+        base, late = named(base), named(late)
+        known = {r.chunk_id for df in (base, late) if df is not None for r in df.where(F.col("chunk_id").isin(ids)).select("chunk_id").distinct().collect()}
+        for i in ids:
+            if i not in known:
+                raise KeyError(i)
+        keep = ~F.col("chunk_id").isin(ids)
+        return BarStore(base.where(keep).drop("chunk_id"), None if late is None else late.where(keep).drop("chunk_id", "chunk_start"), self.boundary, self.value_columns, self._unique)
+
     def full_scan(self, rule: Callable[[dict], bool] | None = None) -> DataFrame:
         """All stored rows, superseded ones too, or those a Python rule accepts (row by row; a Column filter is the fast way)."""
         rows = self._plain()

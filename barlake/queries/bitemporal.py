@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlake.functions.stats import trimmed_stats
 from barlake.operators.store import BarStore, cut
 from barlake.plans import zonemap
 from barlake.plans.engine import Engine, FullScanEngine
@@ -273,11 +274,32 @@ _prune("prune_asof", "", f"time_start <= TIMESTAMP '{MID}'", MID)
 _prune("prune_price_disabled", "symbol = 'click' AND price > 90", "symbol = 'click'", corrected=True, use_price=False)
 
 
-@_register(f"{ZONES} SELECT count(*) AS total_chunks, CAST(sum(CAST(symbol = 'click' AND max_price > 50 AS INT)) AS BIGINT) AS candidates FROM zones")
+@_register(f"{ZONES} SELECT count(*) AS total_chunks, CAST(sum(CAST(symbol = 'click' AND max_price > 50 AS INT)) AS BIGINT) AS with_price, CAST(sum(CAST(symbol = 'click' AS INT)) AS BIGINT) AS without_price FROM zones")
 def prune_counts(spark, d):
-    """The price clause's share in pruning, as chunk counts."""
-    marked = store(spark, d, False).pushdown(conjunction([Comparison("symbol", "=", "click"), Comparison("close", ">", 50.0)])).zones
-    return marked.agg(F.count(F.lit(1)).alias("total_chunks"), F.sum(F.col("candidate").cast("long")).alias("candidates"))
+    """The price clause's share in pruning, as candidate counts with and without it."""
+    p = conjunction([Comparison("symbol", "=", "click"), Comparison("close", ">", 50.0)])
+    zones = store(spark, d, False).zones()
+    both = zonemap.mark_candidates(zonemap.mark_candidates(zones, p).withColumnRenamed("candidate", "priced"), p, use_price=False)
+    return both.agg(F.count(F.lit(1)).alias("total_chunks"), F.sum(F.col("priced").cast("long")).alias("with_price"), F.sum(F.col("candidate").cast("long")).alias("without_price"))
+
+
+@_register(f"{ZONES} SELECT {SHOWN} FROM chunked WHERE NOT (symbol = 'click' AND st = (SELECT min(time_start) FROM zones WHERE symbol = 'click'))")
+def remove_chunks(spark, d):
+    """The table without one of its chunks."""
+    s = store(spark, d, False)
+    first = s.zones().where(CLICK).orderBy("time_start").first()
+    return shown(s.without_chunks([first.chunk_id]).state())
+
+
+@_register("""WITH e AS (SELECT event_type || strftime(ts, ' %Y-%m-%d') AS run, value FROM events),
+r AS (SELECT run, value, row_number() OVER (PARTITION BY run ORDER BY value) AS k, count(*) OVER (PARTITION BY run) AS n FROM e WHERE value IS NOT NULL AND NOT isnan(value))
+SELECT run, count(*) AS n, round(avg(value), 6) AS mean, coalesce(round(stddev_samp(value), 6), 0) AS std, round(avg(value) - 1.96 * coalesce(stddev_samp(value), 0) / sqrt(count(*)), 6) AS low,
+       round(avg(value) + 1.96 * coalesce(stddev_samp(value), 0) / sqrt(count(*)), 6) AS high FROM r WHERE k <= greatest(round(n * 0.85), 1) GROUP BY run""")
+def trial_statistics(spark, d):
+    """Trimmed mean, spread and interval per kind of event and day."""
+    runs = table(spark, d, "events").select(F.concat("event_type", F.date_format("ts", " yyyy-MM-dd")).alias("run"), "value")
+    out = trimmed_stats(runs, "run", "value")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "low", "high")})
 
 
 @_register(_state_sql(MID, f"close > 50 AND {NUMBER}"))

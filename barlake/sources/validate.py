@@ -10,6 +10,10 @@ from pyspark.sql.window import Window as W
 from barlake.schema import VALUES
 
 
+#: Sequence numbers that one symbol's deliveries are compared within.
+DELIVERED = 1_000_000
+
+
 def require_columns(columns: list[str], required: list[str]) -> None:
     missing = sorted(set(required) - set(columns))
     if missing:
@@ -35,10 +39,20 @@ def require_unique(df: DataFrame, keys: tuple[str, ...] = ("symbol", "timestamp"
         raise ValueError(f"duplicate ({', '.join(keys)}) rows: {bad.count()} keys, for example {tuple(example)[:-1]}")
 
 
-def out_of_order(df: DataFrame) -> DataFrame:
-    """Rows that lie before an earlier delivered row of their symbol."""
-    before = F.lag("timestamp").over(W.partitionBy("symbol").orderBy("ingest_seq"))
-    return df.withColumn("previous", before).where("previous > timestamp")
+def out_of_order(df: DataFrame, span: int = DELIVERED) -> DataFrame:
+    """Rows that lie before the row of their symbol delivered just before, as ``previous``.
+
+    A symbol's deliveries are compared within spans of ``span`` sequence numbers
+    and, at a span's start, with the last row of the span before; so a hot
+    symbol's rows never meet in one task.
+    """
+    rows = df.withColumn("_span", F.floor(F.col("ingest_seq") / span))
+    ends = rows.groupBy("symbol", "_span").agg(F.max_by("timestamp", "ingest_seq").alias("_end"))
+    ends = ends.select("symbol", "_span", F.lag("_end").over(W.partitionBy("symbol").orderBy("_span")).alias("_before"))
+    within = F.lag("timestamp").over(W.partitionBy("symbol", "_span").orderBy("ingest_seq"))
+    marked = rows.withColumns({"_lag": within, "_first": F.row_number().over(W.partitionBy("symbol", "_span").orderBy("ingest_seq")) == 1}).join(ends, ["symbol", "_span"])
+    previous = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag"))
+    return marked.withColumn("previous", previous).where("previous > timestamp").select(*df.columns, "previous")
 
 
 def require_order(rows: DataFrame, base: DataFrame | None = None) -> None:

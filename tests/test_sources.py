@@ -1,14 +1,17 @@
+import math
 import warnings
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from barlake import cli
+from barlake.functions.stats import overlap
 from barlake.operators.store import BarStore
 from barlake.plans.engine import Engine, FullScanEngine
 from barlake.plans.predicate import Comparison
 from barlake.sources import validate
+from barlake.sources.replay import Replay
 from barlake.sources.bars_csv import load_bars, load_single, load_summary
 from barlake.sources.synthetic import late_corrections, random_walk_bars
 
@@ -74,6 +77,48 @@ def test_schema_check(spark):
         validate.validate_schema(spark.sql("SELECT 'x' AS timestamp, 'a' AS symbol, 1 AS open, 1 AS high, 1 AS low, 1 AS close, 1 AS volume"))
 
 
+def test_replay_is_forward_only(spark):
+    rows = [("B", datetime(2024, 1, 1), 2.0, 2), ("A", datetime(2024, 1, 1), None, 1), ("A", datetime(2024, 1, 2), 3.0, 3)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp timestamp_ntz, close double, ingest_seq long")
+    r = Replay(df, ["close"])
+    first = r.next_row()
+    assert (first["symbol"], first["timestamp"]) == ("A", datetime(2024, 1, 1)) and math.isnan(first["values"][0])
+    assert [x["values"] for x in r] == [[2.0], [3.0]] and not r.has_next
+    with pytest.raises(StopIteration):
+        r.next_row()
+    r.reset()
+    assert r.has_next and len(list(r)) == 3 and not hasattr(r, "__len__")
+    with pytest.raises(ValueError, match="missing required columns: open"):
+        Replay(df, ["open"])
+    with pytest.raises(TypeError):
+        Replay([1])
+    with pytest.raises(ValueError, match="needs a timestamp and a symbol"):
+        list(Replay(df.withColumn("symbol", F.lit(None).cast("string")), ["close"]))
+
+
+def test_chunks_as_arrays_and_their_removal(spark):
+    s = BarStore(random_walk_bars(spark, 2, 60))
+    ids = [r.chunk_id for r in s.zones().orderBy("symbol", "time_start").collect()]
+    arrays = s.column_arrays(ids[0])
+    assert set(arrays) == {"timestamp", "symbol", "open", "high", "low", "close", "volume"} and len(arrays["close"]) == 22
+    assert s.without_chunks(ids[:2]).zones().count() == len(ids) - 2
+    with pytest.raises(KeyError):
+        s.without_chunks([ids[0], 5])
+
+
+def test_order_is_checked_across_spans(spark):
+    days = [1, 3, 2, 5, 4, 4, 6, 1]
+    rows = [("A", datetime(2024, 1, d), 7 * i) for i, d in enumerate(days)] + [("B", datetime(2024, 1, 20 - i), 7 * i + 1) for i in range(3)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp timestamp_ntz, ingest_seq long")
+    for span in (1, 10, 20, 10**6):
+        got = sorted((r.symbol, r.ingest_seq, r.previous.day) for r in validate.out_of_order(df, span).collect())
+        assert got == [("A", 14, 3), ("A", 28, 5), ("A", 49, 6), ("B", 8, 20), ("B", 15, 19)], span
+
+
+def test_interval_overlap():
+    assert overlap((0, 1), (1, 2)) and overlap((0, 5), (1, 2)) and not overlap((0, 1), (1.1, 2))
+
+
 def test_command_line(spark, tmp_path):
     path = put(tmp_path, HEAD + "".join(ROWS))
     out = cli.main(["--data-csv", path, "--chunk-strategy", "hourly", "--query", "SELECT * FROM d WHERE symbol = 'A' AND close > 1", "--benchmark", "--json", str(tmp_path / "o.json")])
