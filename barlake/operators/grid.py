@@ -29,9 +29,9 @@ HALO = 32
 
 
 def _slope(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
-    """Slope at an inner knot between secants d0 (over h0) and d1 (over h1): 0 at a turn, else the weighted harmonic mean."""
+    """Slope at an inner knot between secants d0 (over h0) and d1 (over h1): 0 at a turn, else the weighted harmonic mean; null at the ends."""
     w0, w1 = 2 * h1 + h0, h1 + 2 * h0
-    return F.when(d0 * d1 > 0, (w0 + w1) / (w0 / d0 + w1 / d1)).otherwise(F.lit(0.0))
+    return F.when(d0 * d1 > 0, (w0 + w1) / (w0 / d0 + w1 / d1)).when(d0 * d1 <= 0, 0.0)
 
 
 def _cubic(t: Column, knot: dict[str, Column]) -> Column:

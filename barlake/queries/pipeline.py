@@ -93,6 +93,26 @@ slots AS (SELECT symbol, step, unnest(range(a, z + 1)) AS slot FROM spans),
 seen AS (SELECT symbol, slot, arg_max(close, (timestamp, ingest_seq)) AS close FROM readings GROUP BY ALL)
 """
 
+_GRID = f"""WITH {_SLOTS},
+knots AS (SELECT symbol, step, epoch_us(timestamp) AS us, arg_max(close, ingest_seq) AS y FROM readings GROUP BY ALL),
+around AS (
+  SELECT symbol, step, us AS u1, y AS y1, lag(us) OVER w AS u0, lag(y) OVER w AS y0, lead(us) OVER w AS u2, lead(y) OVER w AS y2, lead(us, 2) OVER w AS u3, lead(y, 2) OVER w AS y3
+  FROM knots WINDOW w AS (PARTITION BY symbol ORDER BY us)),
+gaps AS (
+  SELECT *, u1 // (step * 1000000) AS s1, u2 // (step * 1000000) AS s2, (u2 - u1) / 1e6 AS h, (y2 - y1) / ((u2 - u1) / 1e6) AS d,
+         (u1 - u0) / 1e6 AS h0, (y1 - y0) / ((u1 - u0) / 1e6) AS d0, (u3 - u2) / 1e6 AS h3, (y3 - y2) / ((u3 - u2) / 1e6) AS d3
+  FROM around WHERE u1 // 86400000000 = u2 // 86400000000),
+slopes AS (
+  SELECT *, CASE WHEN u0 IS NULL THEN d WHEN d0 * d > 0 THEN (3 * h + 3 * h0) / ((2 * h + h0) / d0 + (h + 2 * h0) / d) ELSE 0 END AS m1,
+         CASE WHEN u3 IS NULL THEN d WHEN d * d3 > 0 THEN (3 * h3 + 3 * h) / ((2 * h3 + h) / d + (h3 + 2 * h) / d3) ELSE 0 END AS m2
+  FROM gaps WHERE s2 - s1 > 1),
+missing AS (SELECT *, unnest(range(s1 + 1, s2)) AS slot FROM slopes),
+placed AS (SELECT *, (slot * step - u1 / 1e6) AS t, (slot * step - u1 / 1e6) / h AS u FROM missing)
+SELECT symbol, slot * step AS slot_epoch, CASE WHEN s2 - s1 - 1 <= 6 THEN round(y1 + t * (m1 + u * ((3 * d - 2 * m1 - m2) + u * (m1 + m2 - 2 * d))), 6) END AS close,
+       CASE WHEN s2 - s1 - 1 <= 6 THEN 'filled' ELSE 'gap' END AS status FROM placed
+UNION ALL SELECT symbol, slot * step, round(close, 6), 'observed' FROM seen JOIN (SELECT DISTINCT symbol, step FROM readings) USING (symbol)
+"""
+
 _KNOWN = f"""
 WITH r AS (SELECT * FROM ({_CHUNK_ROWS}) WHERE ts IS NOT NULL AND txn IS NOT NULL),
 k AS (
@@ -143,6 +163,7 @@ vals AS (SELECT symbol, day, CASE WHEN NOT isnan(v) THEN v END AS v FROM last)
 SELECT symbol, day, count(*) AS n_rows, count(v) AS n_values, coalesce(sum(v), 0.0) AS total, median(v) AS median,
        count(DISTINCT v) AS n_distinct, min(v) AS smallest, max(v) AS largest FROM vals GROUP BY 1, 2""",
     "p3_found": f"WITH {_SLOTS} SELECT symbol, slot * step AS slot_epoch FROM slots ANTI JOIN seen USING (symbol, slot)",
+    "p3_grid": _GRID,
     "p5_found": f"SELECT signal_id FROM ({_KNOWN}) WHERE used IS DISTINCT FROM known_close",
     "p5_known": f"SELECT signal_id, known_close FROM ({_KNOWN})",
     "p6_found": f"WITH {_LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",

@@ -78,6 +78,16 @@ def test_interpolation_keeps_the_shape(spark):
     assert len(out) == 14 and values == sorted(values) and min(values) == 1.0 and max(values) == 10.0
 
 
+def test_ends_of_a_history_take_the_secant(spark):
+    t = datetime(2024, 1, 1)
+    rows = [(i, "A", t + timedelta(minutes=m), c, "x", 1) for i, (m, c) in enumerate([(0, 1.0), (15, 4.0), (20, 4.5), (35, 9.0)])] + [(9, "B", t, 1.0, "x", 1), (10, "B", t + timedelta(minutes=15), 4.0, "x", 1)]
+    df = spark.createDataFrame(rows, BARS)
+    got = {(x.symbol, x.slot_epoch): (x.close, x.status) for x in regular_grid(df, spark.createDataFrame([("A", 5, "x"), ("B", 5, "x")], SYMBOLS)).collect()}
+    want = brute(rows, {"A": 5, "B": 5}, 6)
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+    assert abs(got["B", int((t - E0).total_seconds()) + 300][0] - 2.0) < 1e-9
+
+
 def test_empty(spark):
     none, symbols = spark.createDataFrame([], BARS), spark.createDataFrame([], SYMBOLS)
     assert regular_grid(none, symbols).count() == missing_slots(none, symbols).count() == 0
