@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlake.operators import chunking
+from barlake.operators import chunking, timeshards
 from barlake.operators.store import BarStore
 from barlake.operators.timeshards import with_shards
 from barlake.plans import zonemap
@@ -62,7 +62,10 @@ def test_null_keys_and_empty_table(spark):
     assert chunking.monthly(df).count() == chunking.anchored(df, timedelta(hours=1)).count() == 0
 
 
-def test_shards_own_each_row_once_and_bring_the_neighbours(spark):
+@pytest.mark.parametrize("shipped", [50_000, 0])
+def test_shards_own_each_row_once_and_bring_the_neighbours(spark, shipped, monkeypatch):
+    """Whether the plan of shards is small enough to be shipped or is joined by key."""
+    monkeypatch.setattr(timeshards, "PLAN_ROWS", shipped)
     df = frame(spark)
     out = with_shards(df, "symbol", "timestamp", target_rows=400, halo_rows=25).toPandas()
     own = out[out._own]
