@@ -53,6 +53,16 @@ def tables(spark: SparkSession, vocabulary: str = VOCABULARY):
     return spark.sparkContext.broadcast(_compiled[vocabulary])
 
 
+#: Tables up to this size by Catalyst's estimate may lie in fewer files than there are cores.
+FEW_BYTES = 32 << 20
+
+
+def spread(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """``picked`` over all cores if ``docs``, which it is taken from, is so small that its files may not reach; larger tables stay as they lie."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return picked.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size <= FEW_BYTES else picked
+
+
 def splitter() -> Callable[[str], list[str]]:
     """Splits a text into words by PATTERN.
 
@@ -100,7 +110,8 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
                 words.clear()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    picked = spread(docs, docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
+    return picked.mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
 def count_tokens(docs: DataFrame, key: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -118,7 +129,7 @@ def count_tokens(docs: DataFrame, key: list[str], text: str = "text", vocabulary
             if len(sizes) > 4 * KEPT_WORDS:
                 sizes.clear()
 
-    picked = docs.select(*key, F.col(text).alias("_text"))
+    picked = spread(docs, docs.select(*key, F.col(text).alias("_text")))
     schema = ", ".join([f"`{k}` {picked.schema[k].dataType.simpleString()}" for k in key] + ["tokens long"])
     return picked.mapInArrow(run, schema)
 
