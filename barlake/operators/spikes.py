@@ -37,6 +37,10 @@ CALM_VOLUME = 0.4
 FAR = np.log(3.0)
 #: No stretch of up to so many equal readings is ever called stuck.
 SHORT_RUN = 5
+#: Run lengths of a source end where so many times their scale lies empty: chance leaves such a gap in about one sticky source of 100.
+GAP = 5.0
+#: Stretches that hold more of a source's readings than this, and are more than FEW_RUNS, are its habit. Scales are taken from at least BACKED runs.
+HABIT, FEW_RUNS, BACKED = 0.25, 3, 10
 #: Readings on each side that a shard needs: the widest window is 31, the longest tested run 2 * 24.
 HALO = 64
 AROUND, BESIDE, WIDEST = 31, 7, 3
@@ -100,15 +104,40 @@ def _bumps(x: np.ndarray) -> np.ndarray:
     return best
 
 
+def _usual_run(length: np.ndarray, many: np.ndarray) -> int:
+    """The longest run that a source usually has, from how ``many`` of its runs have each ``length`` (ascending).
+
+    The body of the lengths ends at the first gap wider than GAP times their
+    scale, the scale being that of lengths without memory (of all runs, and of
+    the longer ones alone, as sources have quiet times). However many stretches
+    lie beyond, they do not move it, unless they hold more than HABIT of the readings.
+    """
+    if not len(length):
+        return 1
+    runs, rows = np.cumsum(many), np.cumsum(many * length)
+    scale = np.zeros(len(length))
+    for least in (0, 1, SHORT_RUN):
+        beyond = np.maximum(length - least, 0)
+        n = np.maximum(np.cumsum(np.where(beyond > 0, many, 0)), 1)
+        mean, square = np.cumsum(many * beyond) / n, np.cumsum(many * beyond**2) / n
+        backed = (mean > 1) & ((n >= BACKED) | (least == 0))
+        own = 1 / np.log(mean[backed] / (mean[backed] - 1))
+        if least:  # a habit of much the same length is no long tail
+            own = np.minimum(own, np.sqrt(np.maximum(square - mean**2, 0.0))[backed])
+        scale[backed] = np.maximum(scale[backed], own)
+    gap = np.diff(length) > GAP * scale[:-1]
+    few = (runs[-1] - runs[:-1] <= FEW_RUNS) | (rows[-1] - rows[:-1] <= HABIT * rows[-1])
+    end = np.flatnonzero(gap & few & (length[1:] > SHORT_RUN))
+    return int(length[end[0] if len(end) else -1])
+
+
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Length of each place's run of equal values, whether it is the run's first, and the longest run usual here."""
     if not len(x):
         return np.zeros(0, int), np.zeros(0, bool), 1
     first = np.concatenate([[True], x[1:] != x[:-1]])
     size = np.diff(np.append(np.flatnonzero(first), len(x)))
-    kinds = np.sort(size)[::-1]
-    usual = int(kinds[min(max(3, len(kinds) // 1000), len(kinds) - 1)])
-    return np.repeat(size, size), first, usual
+    return np.repeat(size, size), first, _usual_run(*np.unique(size, return_counts=True))
 
 
 def _two_sided(x: np.ndarray) -> np.ndarray:
@@ -192,11 +221,12 @@ def judge(seq: np.ndarray, us: np.ndarray, o: np.ndarray, h: np.ndarray, l: np.n
         held[own] = size
         run[name] = held[of]
         over = np.zeros(R, bool)
-        over[own] = (size > max(SHORT_RUN, 2 * typical)) & ~first
+        over[own] = (size > max(SHORT_RUN, typical)) & ~first
         stuck |= over[of] & (values == values[rep][of])
 
     points = np.column_stack([level[of], jumps, wick_hi, wick_lo, bursts, season[of], 2 * run["c"] - 2, 2 * run["v"] - 2]).clip(-1e3, 1e3)
-    pool = rep[np.argsort((seq[rep].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16), kind="stable")[:512]]
+    usually = rep[~stuck[rep]]  # the forest learns from readings that are not stuck, so that many stuck ones do not become its norm
+    pool = usually[np.argsort((seq[usually].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16), kind="stable")[:512]]
     score = Forest(points[pool], seed).score(points)
     ask = score >= CANDIDATE
     spike = ask & ((jumps > JUMP) | fars | (wick_hi > WICK) | (wick_lo > WICK) | (bursts > BURST))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlake.functions.forest import Forest
-from barlake.operators.spikes import mark_spikes
+from barlake.operators.spikes import SHORT_RUN, _usual_run, mark_spikes
 
 SCHEMA = "ingest_seq long, symbol string, timestamp timestamp_ntz, open double, high double, low double, close double, volume double, _shard string, score int"
 NAN = float("nan")
@@ -120,3 +120,38 @@ def test_forest_sets_outliers_apart():
     calm, odd = f.score(rng.normal(0, 1, (200, 4)) * [1, 1, 1, 0] + [0, 0, 0, 1]), f.score(np.array([[30.0, 0, 0, 1], [0, 0, 0, 40.0]]))
     assert odd.min() > np.quantile(calm, 0.95)
     assert (Forest(pool, 1).score(pool) == f.score(pool)).all()
+
+
+def stretches(rows, sizes, column):
+    """Repeats a value for each of ``sizes`` readings, spread over ``rows``; returns the ids after each stretch's first."""
+    bad = set()
+    for at, size in zip(np.linspace(20, len(rows) - 100, len(sizes)).astype(int), sizes):
+        for i in range(at + 1, at + size):
+            for k in (3, 4, 5, 6) if column == "close" else (7,):
+                rows[i][k] = rows[at][6 if column == "close" else 7]
+            bad.add(rows[i][0])
+    return bad
+
+
+@pytest.mark.parametrize("column", ["close", "volume"])
+def test_many_stuck_stretches_do_not_become_the_norm(spark, column):
+    sources = {"A": (2000, [20, 22, 25]), "B": (2000, [20, 22, 25, 30]), "C": (2000, list(range(20, 30))), "D": (2000, [7, 9, 12, 15, 20, 26]), "E": (600, [8] * 6), "F": (2000, [45] * 10)}
+    rows, bad = [], set()
+    for k, (name, (n, sizes)) in enumerate(sources.items()):
+        own = walk(name, n, 20 + k, first=10_000 * k)
+        bad |= stretches(own, sizes, column)
+        rows += own
+    got = {r.ingest_seq for r in mark_spikes(spark.createDataFrame(rows, SCHEMA), flagged_only=True).collect()}
+    assert got == bad
+
+
+def test_usual_run_ends_at_the_first_gap():
+    usual = lambda *sizes: _usual_run(*np.unique(np.concatenate(sizes), return_counts=True))
+    sticky = np.repeat(np.arange(1, 11), [1000, 500, 250, 120, 60, 30, 15, 8, 4, 2])
+    assert usual(sticky) == 10 == usual(sticky, [18]) == usual(sticky, [18, 19, 22, 35, 36])
+    daily = np.full(200, 20)  # what holds a large share of the readings is the source's habit
+    assert usual(np.ones(5000, int), daily) == 20 and usual(np.ones(5000, int), daily, [60]) == 20
+    assert usual([30]) == 30 and usual(np.array([], int)) == 1
+    rng = np.random.default_rng(5)
+    alarms = sum(max(s) > max(SHORT_RUN, usual(s)) for s in (rng.geometric(0.4, 2000) for _ in range(200)))
+    assert alarms <= 5
