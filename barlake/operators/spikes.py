@@ -45,6 +45,10 @@ HABIT, FEW_RUNS, BACKED = 0.25, 3, 10
 HALO = 64
 AROUND, BESIDE, WIDEST = 31, 7, 3
 
+#: Statistics of a source that is cut come from histograms of its shards, with bins of this width in logarithms.
+BIN = 0.01
+STEPS, CLOSE_RUNS, VOLUME_RUNS, HOURS = 0, 1, 2, 3
+
 FIELDS = ["ingest_seq", "symbol", "timestamp", "open", "high", "low", "close", "volume"]
 VERDICT = "ingest_seq long, symbol string, score double, impossible boolean, spike boolean, stuck boolean"
 
@@ -74,12 +78,12 @@ def _beside(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return w[: len(x)], w[k + 1 : k + 1 + len(x)]
 
 
-def _moves(x: np.ndarray) -> tuple[float, np.ndarray]:
-    """Usual absolute step, over all and around each place; the larger of both in the second."""
+def _moves(x: np.ndarray, usual: float | None = None) -> tuple[float, np.ndarray]:
+    """Usual absolute step, over all (unless given) and around each place; the larger of both in the second."""
     if len(x) < 2:
-        return 1e-5, np.full(len(x), 1e-5)
+        return usual or 1e-5, np.full(len(x), usual or 1e-5)
     step = np.abs(np.diff(x, prepend=np.nan))
-    usual = max(float(np.nanmedian(step)), 1e-5)
+    usual = usual or max(float(np.nanmedian(step)), 1e-5)
     half = AROUND // 2
     w = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(half, np.nan), step, np.full(half, np.nan)]), AROUND)
     return usual, np.maximum(usual, np.nan_to_num(_median(w)))
@@ -147,8 +151,11 @@ def _two_sided(x: np.ndarray) -> np.ndarray:
     return np.nan_to_num(np.maximum(np.minimum(x - left, x - right), np.minimum(left - x, right - x)))
 
 
-def judge(seq: np.ndarray, us: np.ndarray, o: np.ndarray, h: np.ndarray, l: np.ndarray, c: np.ndarray, v: np.ndarray, bad: np.ndarray, seed: int) -> dict[str, np.ndarray]:
-    """Verdicts on one source's readings, given in order of time and delivery; ``bad``: impossible by themselves."""
+def judge(seq: np.ndarray, us: np.ndarray, o: np.ndarray, h: np.ndarray, l: np.ndarray, c: np.ndarray, v: np.ndarray, bad: np.ndarray, seed: int, whole: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Verdicts on one source's readings, given in order of time and delivery; ``bad``: impossible by themselves.
+
+    ``whole``: where these are a shard only, what is usual for the whole source, as ``_merge`` gives it.
+    """
     n = len(seq)
     head = np.concatenate([[True], us[1:] != us[:-1]])
     of = np.cumsum(head) - 1
@@ -165,7 +172,7 @@ def judge(seq: np.ndarray, us: np.ndarray, o: np.ndarray, h: np.ndarray, l: np.n
     gone = apart > FAR
     far[seen[gone]] = True
     calm = seen[~gone]
-    base, here = _moves(cr[calm])
+    base, here = _moves(cr[calm], None if whole is None else whole[0])
     jump[calm] = _bumps(cr[calm]) / here
     usual[calm] = here
     if len(calm) > 1:
@@ -206,17 +213,18 @@ def judge(seq: np.ndarray, us: np.ndarray, o: np.ndarray, h: np.ndarray, l: np.n
     burst, season = np.zeros(R), np.zeros(R)
     if len(traded):
         x = vl[traded]
-        mad = max(float(np.median(np.abs(x - np.median(x)))), CALM_VOLUME)
+        mad = max(float(np.median(np.abs(x - np.median(x)))) if whole is None else whole[3], CALM_VOLUME)
         burst[traded] = _two_sided(x) / mad
         hour = (us[rep][traded] // 3_600_000_000 % 24).astype(int)
-        mid = np.array([np.median(x[hour == k]) if np.any(hour == k) else 0.0 for k in range(24)])
+        mid = np.array([np.median(x[hour == k]) if np.any(hour == k) else 0.0 for k in range(24)]) if whole is None else whole[4:]
         season[traded] = (x - mid[hour]) / mad
     bursts = np.where(v == v[rep][of], burst[of], 0.0)
 
     # Runs of equal closes of traded bars, and of traded volumes.
     run, stuck = {}, np.zeros(n, bool)
-    for name, values, own in (("c", c, np.flatnonzero(~np.isnan(c[rep]) & ~(vr == 0) & ~bad[rep])), ("v", v, np.flatnonzero(vr > 0))):
+    for name, values, own, at in (("c", c, np.flatnonzero(~np.isnan(c[rep]) & ~(vr == 0) & ~bad[rep]), 1), ("v", v, np.flatnonzero(vr > 0), 2)):
         size, first, typical = _runs(values[rep][own])
+        typical = typical if whole is None else whole[at]
         held = np.ones(R)
         held[own] = size
         run[name] = held[of]
@@ -233,16 +241,61 @@ def judge(seq: np.ndarray, us: np.ndarray, o: np.ndarray, h: np.ndarray, l: np.n
     return {"score": score, "impossible": bad, "spike": spike & ~bad, "stuck": ask & stuck & ~bad, "points": points}
 
 
+def _ordered(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The order of time and delivery; seq, time, open, high, low, close, volume, impossible and own in it."""
+    seq = pc.fill_null(table["ingest_seq"], -1).to_numpy()
+    rest = [table[k].to_numpy() for k in ("_us", "open", "high", "low", "close", "volume", "_bad", "_own")]
+    order = np.lexsort((seq, rest[0]))
+    return order, [x[order] for x in (seq, *rest)]
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """One shard's part of its source's histograms: (kind, key, n). What crosses a border counts where it begins."""
+    table = table.combine_chunks()
+    _, (_, us, _, _, _, c, v, bad, own) = _ordered(table)
+    rep = np.flatnonzero(np.concatenate([[True], us[1:] != us[:-1]]))
+    us, c, v, bad, own = (x[rep] for x in (us, c, v, bad, own))
+    parts = []
+    with np.errstate(all="ignore"):
+        seen = np.flatnonzero((c > 0) & ~(v == 0) & ~bad)
+        step = np.abs(np.diff(np.log(c[seen])))
+        step = step[own[seen[1:]] & (step <= FAR)]
+        parts.append((np.full(len(step), STEPS), np.round(np.log(np.maximum(step, 1e-5)) / BIN)))
+        traded = np.flatnonzero((v > 0) & own)
+        parts.append((HOURS + us[traded] // 3_600_000_000 % 24, np.round(np.log(v[traded]) / BIN)))
+    for kind, x, at in ((CLOSE_RUNS, c, np.flatnonzero(~np.isnan(c) & ~(v == 0) & ~bad)), (VOLUME_RUNS, v, np.flatnonzero(v > 0))):
+        size, first, _ = _runs(x[at])
+        parts.append((np.full(np.count_nonzero(first & own[at]), kind), size[first & own[at]]))
+    pairs, n = np.unique(np.concatenate([np.column_stack(p) for p in parts]).clip(-1e9, 1e9).astype(np.int64), axis=0, return_counts=True)
+    return pa.table({"symbol": table["symbol"][:1], "_shard": table["_shard"][:1], "kind": [pairs[:, 0]], "key": [pairs[:, 1]], "n": [n.astype(np.int64)]})
+
+
+def _middle(key: np.ndarray, n: np.ndarray) -> float:
+    """The median of ``key`` with multiplicity ``n``."""
+    order = np.argsort(key, kind="stable")
+    return float(key[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)]) if len(key) else 0.0
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """What is usual for a source, for each of its shards: step, longest runs of closes and volumes, spread and hour medians of log volumes."""
+    kind, key, n = (np.concatenate([x.values.to_numpy() for x in table[k]]) for k in ("kind", "key", "n"))
+    pairs, at = np.unique(np.column_stack([kind, key]), axis=0, return_inverse=True)
+    (kind, key), n = pairs.T, np.bincount(at.ravel(), weights=n).astype(np.int64)
+    runs = [_usual_run(key[kind == k], n[kind == k]) for k in (CLOSE_RUNS, VOLUME_RUNS)]
+    steps, volumes, logs = kind == STEPS, kind >= HOURS, key * BIN
+    usual = max(np.exp(_middle(logs[steps], n[steps])), 1e-5) if steps.any() else 1e-5
+    spread = _middle(np.abs(logs[volumes] - _middle(logs[volumes], n[volumes])), n[volumes])
+    hours = [_middle(logs[kind == HOURS + k], n[kind == HOURS + k]) for k in range(24)]
+    return pa.table({"symbol": table["symbol"], "_shard": table["_shard"], "whole": pa.array([[usual, *map(float, runs), spread, *hours]] * len(table), pa.list_(pa.float64()))})
+
+
 def _group(flagged_only: bool):
-    def run(table: pa.Table) -> pa.Table:
-        names = ["_us", "open", "high", "low", "close", "volume"]
+    def run(table: pa.Table, usual: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        seq = pc.fill_null(table["ingest_seq"], -1).to_numpy()
-        us, o, h, l, c, v = (table[k].to_numpy() for k in names)
-        bad, own = table["_bad"].to_numpy(), table["_own"].to_numpy()
-        order = np.lexsort((seq, us))
-        got = judge(*(x[order] for x in (seq, us, o, h, l, c, v)), bad[order], seed=len(table))
-        keep = own[order]
+        order, (*readings, bad, own) = _ordered(table)
+        whole = np.array(usual["whole"][0].as_py()) if len(usual) else None
+        got = judge(*readings, bad, seed=len(table), whole=whole)
+        keep = own
         if flagged_only:
             keep = keep & (got["impossible"] | got["spike"] | got["stuck"])
         at = np.flatnonzero(keep)
@@ -258,18 +311,22 @@ def mark_spikes(bars: DataFrame, flagged_only: bool = False, target_rows: int =
     """Score and verdicts of every delivered row, or only of the rows found at fault.
 
     One shuffle by (symbol, shard). A source of more than ``target_rows`` rows is
-    cut by time, each shard with ``HALO`` readings of its neighbours; its model is
-    then fitted per shard. Rows without symbol or time never enter the shuffle.
+    cut by time, each shard with ``HALO`` readings of its neighbours. What is usual
+    for it (step, run lengths, spread and hours of volumes) is then counted over all its
+    shards first, in a shuffle of such sources alone, and joined to each; only the forest is
+    fitted per shard. Rows without symbol or time never enter the shuffle.
     """
     rows = bars.select(*FIELDS).withColumn("_bad", impossible())
     placed = F.col("symbol").isNotNull() & F.col("timestamp").isNotNull()
     nan = F.lit(float("nan"))
     sharded = with_shards(rows.where(placed), "symbol", "timestamp", target_rows, HALO)
     ready = sharded.select(
-        "ingest_seq", "symbol", "_shard", "_own", "_bad", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("_us"),
+        "ingest_seq", "symbol", "_shard", "_own", "_cut", "_bad", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("_us"),
         *[F.coalesce(c, nan).alias(c) for c in ("open", "high", "low", "close", "volume")],
     )
-    judged = ready.groupBy("symbol", "_shard").applyInArrow(_group(flagged_only), VERDICT)
+    counts = ready.where("_cut").groupBy("symbol", "_shard").applyInArrow(_count, "symbol string, _shard int, kind array<long>, key array<long>, n array<long>")
+    usual = counts.groupBy("symbol").applyInArrow(_merge, "symbol string, _shard int, whole array<double>")
+    judged = ready.drop("_cut").groupBy("symbol", "_shard").cogroup(usual.groupBy("symbol", "_shard")).applyInArrow(_group(flagged_only), VERDICT)
     alone = rows.where(~placed).select(
         "ingest_seq", "symbol", F.when(F.col("_bad"), 1.0).otherwise(0.0).alias("score"), F.col("_bad").alias("impossible"), F.lit(False).alias("spike"), F.lit(False).alias("stuck")
     )

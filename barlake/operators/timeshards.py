@@ -38,7 +38,7 @@ def shard_plan(df: DataFrame, key: str, ts: str, target_rows: int, halo_rows: in
 
 
 def with_shards(df: DataFrame, key: str, ts: str, target_rows: int = 50_000, halo_rows: int = 64) -> DataFrame:
-    """``df`` with ``_shard`` and ``_own``; halo copies have ``_own`` false.
+    """``df`` with ``_shard``, ``_own`` (false for halo copies) and ``_cut`` (whether its source is cut at all).
 
     Rows without key or time must be taken out before. A day is never cut: the
     largest shard holds ``target_rows`` plus one day of one source.
@@ -47,7 +47,7 @@ def with_shards(df: DataFrame, key: str, ts: str, target_rows: int = 50_000, hal
     plan = shard_plan(df, key, ts, target_rows, halo_rows)
     rows = plan.take(PLAN_ROWS + 1)
     if not rows:
-        return df.withColumns({"_shard": F.lit(0), "_own": F.lit(True)})
+        return df.withColumns({"_shard": F.lit(0), "_own": F.lit(True), "_cut": F.lit(False)})
     if len(rows) <= PLAN_ROWS:
         plan = F.broadcast(spark.createDataFrame(rows, plan.schema))
     plan = plan.withColumnRenamed(key, "_key")
@@ -56,6 +56,7 @@ def with_shards(df: DataFrame, key: str, ts: str, target_rows: int = 50_000, hal
     shards = F.coalesce("_shards", F.array(F.lit(0)))
     return (
         joined.withColumn("_first", shards[0])
+        .withColumn("_cut", F.col("_shards").isNotNull())
         .withColumn("_shard", F.explode(shards))
         .withColumn("_own", F.col("_shard") == F.col("_first"))
         .drop("_key", "_day", "_shards", "_first")

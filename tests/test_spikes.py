@@ -155,3 +155,20 @@ def test_usual_run_ends_at_the_first_gap():
     rng = np.random.default_rng(5)
     alarms = sum(max(s) > max(SHORT_RUN, usual(s)) for s in (rng.geometric(0.4, 2000) for _ in range(200)))
     assert alarms <= 5
+
+
+@pytest.mark.parametrize("target", [10**6, 400])
+def test_what_is_usual_is_the_sources_not_the_shards(spark, target):
+    rows = walk("A", 3000, 31)
+    for at in [*range(10, 2300, 25), 2900]:  # runs of up to 9 are usual, though the last shard has one only
+        for i in range(at + 1, at + 4 + at % 6):
+            for k in (3, 4, 5, 6):
+                rows[i][k] = rows[at][6]
+    for i in range(2700, 3000):  # volumes that vary little at the end
+        rows[i][7] = 3000.0 + 2 * (i % 50)
+    rows[2800][7] = 3e5
+    for i in range(2300):
+        rows[i][7] = float(round(rows[i][7] ** 2 / 1000 + i % 7))
+    bad = stretches(rows[:2200], [40, 45], "close")
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.ingest_seq for r in mark_spikes(df, flagged_only=True, target_rows=target).collect()} == bad
