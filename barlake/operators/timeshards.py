@@ -29,11 +29,13 @@ def shard_plan(df: DataFrame, key: str, ts: str, target_rows: int, halo_rows: in
     in_order = W.partitionBy(key).orderBy("_day")
     upto = F.sum("_n").over(in_order.rowsBetween(W.unboundedPreceding, 0))
     spans = hot.select(key, "_day", upto.alias("_end"), (upto - F.col("_n")).alias("_start")).withColumn("_own", F.floor(F.col("_start") / target_rows).cast("int"))
-    earlier = F.collect_set("_own").over(W.partitionBy(key).orderBy("_start").rangeBetween(-halo_rows, 0))
-    later = F.collect_set("_own").over(W.partitionBy(key).orderBy("_end").rangeBetween(0, halo_rows))
-    beside = F.array_compact(F.array(F.lag("_own").over(in_order), F.lead("_own").over(in_order)))
-    return spans.withColumns({"_e": earlier, "_l": later, "_b": beside}).select(
-        key, "_day", F.array_distinct(F.concat(F.array("_own"), "_e", "_l", "_b")).alias("_shards")
+    # Running sums leave no holes: a day starts at the end of the day before. So a shard's border is met at the end of the day before its first, and at the start of the day after its last.
+    near = max(halo_rows - 1, 0)
+    ringed = spans.withColumns({"_before": F.lag("_own").over(in_order), "_after": F.lead("_own").over(in_order)})
+    earlier = F.collect_set("_before").over(W.partitionBy(key).orderBy("_start").rangeBetween(-near, 0))
+    later = F.collect_set("_after").over(W.partitionBy(key).orderBy("_end").rangeBetween(0, near))
+    return ringed.withColumns({"_e": earlier, "_l": later}).select(
+        key, "_day", F.array_distinct(F.concat(F.array("_own"), "_e", "_l")).alias("_shards")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barlake.functions.forest import Forest
 from barlake.operators.spikes import SHORT_RUN, _usual_run, mark_spikes
+from barlake.operators.timeshards import with_shards
 
 SCHEMA = "ingest_seq long, symbol string, timestamp timestamp_ntz, open double, high double, low double, close double, volume double, _shard string, score int"
 NAN = float("nan")
@@ -172,3 +173,23 @@ def test_what_is_usual_is_the_sources_not_the_shards(spark, target):
     bad = stretches(rows[:2200], [40, 45], "close")
     df = spark.createDataFrame(rows, SCHEMA)
     assert {r.ingest_seq for r in mark_spikes(df, flagged_only=True, target_rows=target).collect()} == bad
+
+
+@pytest.mark.parametrize("target", [10**6, 400])
+def test_a_thin_day_at_the_cut_does_not_shorten_the_halo(spark, target):
+    rows = walk("A", 1056, 41)
+    rows = rows[:480] + rows[574:]  # the sixth day, first of the second shard at 400, has two readings
+    bad = set()
+    for i in range(478, 490):  # stuck from three readings before the border on
+        for k in (3, 4, 5, 6):
+            rows[i][k] = rows[477][6]
+        bad.add(rows[i][0])
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.ingest_seq for r in mark_spikes(df, flagged_only=True, target_rows=target).collect()} == bad
+    seen = with_shards(df, "symbol", "timestamp", 400, 64).toPandas()
+    own = seen[seen._own].groupby("_shard").timestamp.agg(["min", "max"])
+    everything = df.toPandas().timestamp
+    for shard, (first, last) in own.iterrows():
+        held = seen[seen._shard == shard].timestamp
+        assert (held < first).sum() >= min(64, (everything < first).sum()) and (held > last).sum() >= min(64, (everything > last).sum())
+    assert seen._own.sum() == len(rows) and not seen.duplicated(["_shard", "timestamp"]).any()
