@@ -151,6 +151,28 @@ def _two_sided(x: np.ndarray) -> np.ndarray:
     return np.nan_to_num(np.maximum(np.minimum(x - left, x - right), np.minimum(left - x, right - x)))
 
 
+def _two_sided_at(x: np.ndarray, places: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``_two_sided`` of values ``y`` that stand at ``at`` instead of what ``x`` has there; ``places``: where ``x`` counts."""
+    pad = np.concatenate([np.full(BESIDE, np.nan), x[places], np.full(BESIDE, np.nan)])
+    i, j = np.searchsorted(places, at), np.searchsorted(places, at, side="right")
+    k = np.arange(BESIDE)
+    left, right = _median(pad[i[:, None] + k]), _median(pad[j[:, None] + BESIDE + k])
+    left, right = np.where(np.isnan(left), right, left), np.where(np.isnan(right), left, right)
+    return np.nan_to_num(np.maximum(np.minimum(y - left, y - right), np.minimum(left - y, right - y)))
+
+
+def _runs_at(x: np.ndarray, places: np.ndarray, at: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many readings equal to ``y`` stand directly before and after ``at``; ``places``: where ``x`` counts."""
+    z = x[places]
+    size, first, _ = _runs(z)
+    begin = np.maximum.accumulate(np.where(first, np.arange(len(z)), 0))
+    i, j = np.searchsorted(places, at), np.searchsorted(places, at, side="right")
+    p, q = np.maximum(i - 1, 0), np.minimum(j, len(z) - 1)
+    before = np.where((i > 0) & (z[p] == y), p - begin[p] + 1, 0)
+    after = np.where((j < len(z)) & (z[q] == y), begin[q] + size[q] - q, 0)
+    return before, after
+
+
 def judge(seq: np.ndarray, us: np.ndarray, o: np.ndarray, h: np.ndarray, l: np.ndarray, c: np.ndarray, v: np.ndarray, bad: np.ndarray, seed: int, whole: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Verdicts on one source's readings, given in order of time and delivery; ``bad``: impossible by themselves.
 
@@ -218,7 +240,11 @@ def judge(seq: np.ndarray, us: np.ndarray, o: np.ndarray, h: np.ndarray, l: np.n
         hour = (us[rep][traded] // 3_600_000_000 % 24).astype(int)
         mid = np.array([np.median(x[hour == k]) if np.any(hour == k) else 0.0 for k in range(24)]) if whole is None else whole[4:]
         season[traded] = (x - mid[hour]) / mad
-    bursts = np.where(v == v[rep][of], burst[of], 0.0)
+    bursts, seasons = np.where(v == v[rep][of], burst[of], 0.0), season[of]
+    other = np.flatnonzero(~head & (v > 0) & (v != v[rep][of]))
+    if len(other) and len(traded):
+        bursts[other] = _two_sided_at(vl, traded, of[other], lv[other]) / mad
+        seasons[other] = (lv[other] - mid[(us[other] // 3_600_000_000 % 24).astype(int)]) / mad
 
     # Runs of equal closes of traded bars, and of traded volumes.
     run, stuck = {}, np.zeros(n, bool)
@@ -231,8 +257,14 @@ def judge(seq: np.ndarray, us: np.ndarray, o: np.ndarray, h: np.ndarray, l: np.n
         over = np.zeros(R, bool)
         over[own] = (size > max(SHORT_RUN, typical)) & ~first
         stuck |= over[of] & (values == values[rep][of])
-
-    points = np.column_stack([level[of], jumps, wick_hi, wick_lo, bursts, season[of], 2 * run["c"] - 2, 2 * run["v"] - 2]).clip(-1e3, 1e3)
+        # Another value delivered for the same time goes on with a run, or does not, in place of the first delivery's.
+        other = np.flatnonzero(~head & (values > 0) & ~(v == 0) & ~bad & (values != values[rep][of]))
+        if len(other) and len(own):
+            before, after = _runs_at(values[rep], own, of[other], values[other])
+            run[name][other] = before + 1 + after
+            stuck[other] |= (before > 0) & (before + 1 + after > max(SHORT_RUN, typical))
+
+    points = np.column_stack([level[of], jumps, wick_hi, wick_lo, bursts, seasons, 2 * run["c"] - 2, 2 * run["v"] - 2]).clip(-1e3, 1e3)
     usually = rep[~stuck[rep]]  # the forest learns from readings that are not stuck, so that many stuck ones do not become its norm
     pool = usually[np.argsort((seq[usually].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16), kind="stable")[:512]]
     score = Forest(points[pool], seed).score(points)

@@ -193,3 +193,22 @@ def test_a_thin_day_at_the_cut_does_not_shorten_the_halo(spark, target):
         held = seen[seen._shard == shard].timestamp
         assert (held < first).sum() >= min(64, (everything < first).sum()) and (held > last).sum() >= min(64, (everything > last).sum())
     assert seen._own.sum() == len(rows) and not seen.duplicated(["_shard", "timestamp"]).any()
+
+
+@pytest.mark.parametrize("target", [10**6, 400])
+def test_other_volumes_of_later_deliveries_are_judged(spark, target):
+    rows = walk("A", 900, 51)
+    bad = stretches(rows[:400], [12], "volume")
+    rows[700][7] = None
+    again = {5000: (500, 3e7), 5001: (700, 3e7), 5002: (600, rows[600][7] * 1.5), 5003: (500, 0.0), 5004: (500, None), 5005: (700, 3000.0), 5006: (0, 3e7), 5007: (899, 3e7)}
+    late = []
+    for seq, (i, volume) in again.items():
+        late.append([seq, *rows[i][1:7], volume, *rows[i][8:]])
+    stuck = min(bad)  # the second delivery goes on with the stretch where the first leaves it
+    late.append([5008, *rows[stuck + 3][1:]])
+    rows[stuck + 3][7] += 1000.0
+    bad = (bad - {stuck + 3}) | {5008, 5000, 5001, 5006, 5007}
+    bad -= {stuck, stuck + 1, stuck + 2}  # by first deliveries three equal readings stand before, eight after
+    bad -= {stuck + 4}
+    df = spark.createDataFrame(rows + late, SCHEMA)
+    assert {r.ingest_seq for r in mark_spikes(df, flagged_only=True, target_rows=target).collect()} == bad
