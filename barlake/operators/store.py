@@ -39,6 +39,8 @@ class BarStore:
     ``base``: symbol, timestamp, values and ``ingest_seq``; ``corrections``: the same
     with ``txn_time``. ``base_unique`` may be given where keys are known to be
     unique; otherwise it is found once, when a state is first asked for.
+    Corrections that arrive before their event, or lack either time, are versions of
+    nothing: they are kept in ``set_apart`` and belong to no state, chunk or count.
     """
 
     def __init__(self, base: DataFrame, corrections: DataFrame | None = None, boundary: Boundary = "monthly", value_columns: Sequence[str] = VALUES, base_unique: bool | None = None):
@@ -53,9 +55,17 @@ class BarStore:
         self.value_columns, self.boundary = names, boundary
         columns = ["symbol", "timestamp", *names, "ingest_seq"]
         self.base = base.select(*columns, *[c for c in ("chunk_start",) if c in base.columns])
-        self._corrections = None if corrections is None else corrections.select(*columns, "txn_time", *[c for c in ("chunk_start",) if c in corrections.columns])
+        given = None if corrections is None else corrections.select(*columns, "txn_time", *[c for c in ("chunk_start",) if c in corrections.columns])
+        causal = F.coalesce(F.col("txn_time") >= F.col("timestamp"), F.lit(False))
+        self._corrections = None if given is None else given.where(causal)
+        self.set_apart = None if given is None else given.where(~causal).select(*columns, "txn_time")
         self._unique = base_unique
 
+    def _with_apart(self, store: BarStore) -> BarStore:
+        """``store``, made from this one, with the corrections set apart here."""
+        store.set_apart = self.set_apart
+        return store
+
     @property
     def spark(self) -> SparkSession:
         return self.base.sparkSession
@@ -152,7 +162,7 @@ class BarStore:
             if i not in known:
                 raise KeyError(i)
         keep = ~F.col("chunk_id").isin(ids)
-        return BarStore(base.where(keep).drop("chunk_id"), None if late is None else late.where(keep).drop("chunk_id", "chunk_start"), self.boundary, self.value_columns, self._unique)
+        return self._with_apart(BarStore(base.where(keep).drop("chunk_id"), None if late is None else late.where(keep).drop("chunk_id", "chunk_start"), self.boundary, self.value_columns, self._unique))
 
     def full_scan(self, rule: Callable[[dict], bool] | None = None) -> DataFrame:
         """All stored rows, superseded ones too, or those a Python rule accepts (row by row; a Column filter is the fast way)."""
@@ -168,7 +178,7 @@ class BarStore:
     def append(self, rows: DataFrame) -> BarStore:
         """A store with further base rows, which may not lie before their symbol's last one."""
         validate.require_order(rows, self.base)
-        return BarStore(self._plain().unionByName(rows.select(*self._plain().columns)), self._corrections, self.boundary, self.value_columns)
+        return self._with_apart(BarStore(self._plain().unionByName(rows.select(*self._plain().columns)), self._corrections, self.boundary, self.value_columns))
 
     def correct(self, rows: DataFrame) -> BarStore:
         """A store with further corrections; none may arrive before its event."""
@@ -176,7 +186,7 @@ class BarStore:
         new = rows.select("symbol", "timestamp", *self.value_columns, "ingest_seq", "txn_time")
         if self._corrections is not None:
             new = self._corrections.drop("chunk_start").unionByName(new)
-        return BarStore(self.base, new, self.boundary, self.value_columns, self._unique)
+        return self._with_apart(BarStore(self.base, new, self.boundary, self.value_columns, self._unique))
 
     def compact(self, symbol: str | None = None, boundary: Boundary | None = None) -> tuple[BarStore, DataFrame]:
         """Correction chunks merged per symbol in order of event time, and (symbol, before, after) per compacted symbol.
@@ -194,7 +204,7 @@ class BarStore:
         merged = cut(late.drop("chunk_start", "chunk_id").join(due.select("symbol"), "symbol", "left_semi"), boundary or self.boundary).withColumn("chunk_id", chunking.chunk_key())
         rest = late.join(due.select("symbol"), "symbol", "left_anti")
         after = merged.groupBy("symbol").agg(F.countDistinct("chunk_id").alias("after"))
-        store = BarStore(self.base, None, self.boundary, self.value_columns, self._unique)
+        store = self._with_apart(BarStore(self.base, None, self.boundary, self.value_columns, self._unique))
         store._corrections = merged.unionByName(rest.select(*merged.columns))
         return store, due.join(after, "symbol").select("symbol", "before", "after")
 
@@ -219,11 +229,19 @@ class BarStore:
         late = self.chunked_corrections()
         if late is not None:
             lay(late).write.mode("overwrite").parquet(f"{path}/corrections")
+        if self.set_apart is not None and not self.set_apart.isEmpty():
+            self.set_apart.write.mode("overwrite").parquet(f"{path}/set_apart")
         self.zones().write.mode("overwrite").parquet(f"{path}/zones")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, **options) -> BarStore:
         base = spark.read.parquet(f"{path}/base")
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/corrections")
-        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        return cls(base, spark.read.parquet(f"{path}/corrections") if there else None, **options)
+
+        def there(name: str) -> bool:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+        store = cls(base, spark.read.parquet(f"{path}/corrections") if there("corrections") else None, **options)
+        if there("set_apart"):
+            store.set_apart = spark.read.parquet(f"{path}/set_apart")
+        return store

@@ -129,3 +129,34 @@ def test_antijoin_equals_window_and_compaction_is_invisible(spark, base, late, c
         want = closes(s.state_by_window(as_of, p))
         assert closes(s.state(as_of, p)) == want
         assert closes(compacted.state(as_of, p)) == want
+
+
+def test_acausal_and_undated_corrections_are_set_apart_in_both_plans(spark, tmp_path):
+    base = [bar("A", T0 + timedelta(hours=i), 100.0 + i, i) for i in range(4)]
+    late = [
+        (*bar("A", T0, 200.0, 10), T0 - timedelta(hours=1)),  # before its event
+        (*bar("A", T0 + timedelta(hours=1), 201.0, 11), None),  # undated
+        (*bar("A", T0 + timedelta(hours=2), 202.0, 12), T0 + timedelta(hours=2)),  # at its event
+        (*bar("B", T0, 203.0, 13), T0 - timedelta(hours=1)),  # before the event of a row that base never had
+    ]
+    s = store(spark, base, late)
+    want = [("A", T0 + timedelta(hours=i), c) for i, c in enumerate((100.0, 101.0, 202.0, 103.0))]
+    s.write(str(tmp_path / "s"))
+    for made in (s, s.compact()[0], BarStore.read(spark, str(tmp_path / "s"))):
+        for mostly_late in (False, True):
+            made.__dict__["_mostly_late"] = mostly_late
+            assert closes(made.state()) == want == closes(made.state_by_window())
+        at = T0 + timedelta(days=9)
+        assert closes(made.state(at)) == want == closes(made.state_by_window(at))
+        assert sorted(r.ingest_seq for r in made.set_apart.collect()) == [10, 11, 13]
+
+
+def test_plans_agree_on_the_given_corrections(spark, small):
+    columns = ["symbol", "timestamp", "open", "high", "low", "close", "volume", "ingest_seq"]
+    base = spark.read.parquet(f"{small}/../sf0.01/bars.parquet").select(columns)
+    late = spark.read.parquet(f"{small}/../sf0.01/corrections.parquet").withColumnRenamed("seq", "ingest_seq")
+    s = BarStore(base, late, base_unique=False)
+    s.__dict__["_mostly_late"] = False
+    a, b = s.state(), s.state_by_window()
+    assert a.count() == b.count() > 0 and not s.set_apart.isEmpty()
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
