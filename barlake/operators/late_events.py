@@ -5,8 +5,8 @@ each value occurs. A record adds one to its value's count; a later version of
 the same record takes one from the old value and adds one to the new one. All
 aggregates, exact medians and distinct counts too, come from cumulative counts
 over the multiset, so a correction never needs the period's records again.
-Records that arrive later than the cut-off after the period's end are set apart
-and change nothing.
+Records that arrive later than the cut-off after the period's end are refused by
+the state and change nothing; ``late_rows`` reads them off the same step.
 
 Defined cases: rows without symbol or timestamp belong to no period and are
 neither counted nor late; a correction without transaction time is not known to
@@ -36,23 +36,35 @@ def admitted(chunks: DataFrame, cutoff_hours: int = CUTOFF_HOURS) -> DataFrame:
     return rows.withColumn("day", F.to_date("timestamp")).withColumn("deadline", deadline).withColumn("late", F.coalesce(late, F.lit(False)))
 
 
-def late_rows(chunks: DataFrame, cutoff_hours: int = CUTOFF_HOURS) -> DataFrame:
-    """The rows the multiset state refuses because they come after the cut-off."""
-    return admitted(chunks, cutoff_hours).where("late").select("chunk_id", "row_pos")
+def apply_rows(chunks: DataFrame, value: str, cutoff_hours: int = CUTOFF_HOURS) -> DataFrame:
+    """The state step: what every stored row does to the multiset of its period.
 
-
-def count_deltas(chunks: DataFrame, value: str, cutoff_hours: int = CUTOFF_HOURS) -> DataFrame:
-    """(symbol, day, value, delta): what each record in time changes in its period's multiset.
-
-    A version group is one (symbol, timestamp), bounded by how often one record
-    is corrected, so a hot symbol spreads over its timestamps.
+    Per record, one (symbol, timestamp), versions are taken in order of arrival,
+    those after the cut-off last. ``version`` is the record's version in the state
+    after the row, ``before`` the one before it: the state took the row if it went
+    up and refused it if it stayed. ``new`` and ``old`` are the values the two
+    stand for. A record's versions are bounded by how often it is corrected, so
+    a hot symbol spreads over its timestamps.
     """
-    rows = admitted(chunks, cutoff_hours).where(~F.col("late") & F.col("symbol").isNotNull() & F.col("timestamp").isNotNull() & F.col("txn").isNotNull())
-    versions = W.partitionBy("symbol", "timestamp").orderBy("txn", "corr", "chunk_id", "row_pos")
+    rows = admitted(chunks, cutoff_hours).where(F.col("symbol").isNotNull() & F.col("timestamp").isNotNull() & F.col("txn").isNotNull())
+    versions = W.partitionBy("symbol", "timestamp").orderBy("late", "txn", "corr", "chunk_id", "row_pos")
+    upto = versions.rowsBetween(W.unboundedPreceding, 0)
     v = F.when(~F.isnan(value), F.col(value))
-    steps = rows.select("symbol", "day", v.alias("new"), F.lag(v).over(versions).alias("old"), (F.row_number().over(versions) == 1).alias("opens"))
+    steps = rows.withColumns({"version": F.count(F.when(~F.col("late"), 1)).over(upto), "new": v, "old": F.lag(v).over(versions)})
+    taken = F.when(F.col("late"), 0).otherwise(1)
+    return steps.withColumn("before", F.col("version") - taken).select("chunk_id", "row_pos", "symbol", "day", "corr", "before", "version", "old", "new")
+
+
+def late_rows(chunks: DataFrame, value: str = "volume", cutoff_hours: int = CUTOFF_HOURS) -> DataFrame:
+    """The rows of correction chunks that the state refused."""
+    return apply_rows(chunks, value, cutoff_hours).where("corr AND version = before").select("chunk_id", "row_pos")
+
+
+def count_deltas(chunks: DataFrame, value: str, cutoff_hours: int = CUTOFF_HOURS) -> DataFrame:
+    """(symbol, day, value, delta, rows): what each row the state took changes in its period's multiset."""
+    steps = apply_rows(chunks, value, cutoff_hours).where("version > before")
     moves = F.array(
-        F.struct(F.col("new").alias("value"), F.when(F.col("new").isNotNull(), 1).otherwise(0).alias("delta"), F.col("opens").cast("int").alias("rows")),
+        F.struct(F.col("new").alias("value"), F.when(F.col("new").isNotNull(), 1).otherwise(0).alias("delta"), (F.col("version") == 1).cast("int").alias("rows")),
         F.struct(F.col("old").alias("value"), F.when(F.col("old").isNotNull(), -1).otherwise(0).alias("delta"), F.lit(0).alias("rows")),
     )
     return steps.select("symbol", "day", F.inline(moves))
