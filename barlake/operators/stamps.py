@@ -3,35 +3,46 @@
 Every stamp is read under every form it fits; each reading is an instant with
 the label of the form (order of day and month, unit of a bare number, side of a
 repeated hour). Forms are mixed in a source in proportions that are not known:
-expectation-maximisation learns them per source. A reading's likelihood is the
-source's share of its form times the density of its delay before the reliable
-``received_at`` (exponential, never negative); posteriors choose.
-
-The density falls by e every ``DELAY_S`` seconds and shares are kept above
-``LEAST``, so of readings that lie further apart than DELAY_S * -ln(LEAST)
-(under 14 minutes) the latest one wins, as the statement of the problem asks;
-closer readings would differ by their form's share. The posterior is returned,
-and ``ambiguous`` marks those under ``SURE``.
+expectation-maximisation learns them per source, and with them the scale of the
+delay before the reliable ``received_at``. A reading's likelihood is the source's
+share of its form times the exponential density of its delay, which is never
+negative; posteriors choose.
+
+The scale never exceeds ``DELAY_S`` and shares are kept above ``LEAST``, so of
+readings that lie further apart than DELAY_S * -ln(LEAST) (under 14 minutes) the
+latest one not after receipt wins, as the statement of the problem asks; closer
+readings differ by their form's share. Where the receipt is not known nothing but
+the shares is left: the reading they favour is taken if its posterior reaches
+``SURE``, else the stamp is left without instant. ``ambiguous`` marks every stamp
+whose best posterior is below ``SURE``.
+
+The rounds run on counts: stamps of one source with the same forms at the same
+distances are one pattern, of which a source has a bounded number.
 
 Defined cases: null, empty and unusable stamps, dates without time, times
 without date and wall times that their zone skips have no reading and come back
-with a null instant; without ``received_at`` no reading can be placed, so only
-single readings count; white space around a stamp is ignored; repeated rows are
+with a null instant; white space around a stamp is ignored; repeated rows are
 judged alike, ids must be unique; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timezone
-from functools import reduce
+from functools import cache
 from zoneinfo import ZoneInfo, available_timezones
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.session import cut_lineage
 
-DELAY_S, LEAST, SURE, ROUNDS = 60.0, 1e-6, 0.9, 4
+DELAY_S, LEAST, SURE, ROUNDS = 60.0, 1e-6, 0.9, 12
+#: Distances between readings are counted in steps of so many seconds, up to so many steps; beyond, no share could make up for them.
+STEP_S, STEPS = 10.0, 240
+#: Mean logarithm of an exponential delay of scale 1, with the sign turned.
+EULER = 0.5772156649015329
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
 ZONE = r"(?:\s*(Z|z|[+-]\d{2}:?\d{2}|[A-Z][A-Za-z]{1,5})|\[([A-Za-z_]+(?:/[A-Za-z0-9_+-]+)*)\])?"
@@ -49,23 +60,31 @@ UNITS = {"s": 1_000_000, "ms": 1_000, "us": 1, "ns": -1_000}
 READING = "array<struct<form:string,us:bigint>>"
 
 
+_java_zones: set[str] = set()
+
+
 def _zones(spark: SparkSession) -> list[str]:
     """Zone names both sides know; Spark fails on any other."""
-    return sorted(set(available_timezones()) & set(spark._jvm.java.time.ZoneId.getAvailableZoneIds()))
+    if not _java_zones:
+        _java_zones.update(str(spark._jvm.String.join(",", spark._jvm.java.time.ZoneId.getAvailableZoneIds())).split(","))
+    return sorted(set(available_timezones()) & _java_zones)
+
+
+@cache
+def _offsets(zone: str) -> dict[str, list[int]]:
+    """Abbreviation -> offsets in seconds, read off the zone database at each quarter of 2000-2037."""
+    tz, found = ZoneInfo(zone), {}
+    for y in range(2000, 2038):
+        for m in (1, 4, 7, 10):
+            local = datetime(y, m, 1, tzinfo=timezone.utc).astimezone(tz)
+            if local.tzname().isalpha():
+                found.setdefault(local.tzname().upper(), set()).add(int(local.utcoffset().total_seconds()))
+    return {k: sorted(v) for k, v in found.items()}
 
 
 def abbreviations(spark: SparkSession) -> DataFrame:
-    """(zone, abbreviation -> offsets in seconds), read off the zone database at each month of 2000-2037; bounded by the zones."""
-    at = [datetime(y, m, 1, tzinfo=timezone.utc) for y in range(2000, 2038) for m in (1, 4, 7, 10)]
-    rows = []
-    for zone in _zones(spark):
-        found: dict[str, set[int]] = {}
-        for t in at:
-            local = t.astimezone(ZoneInfo(zone))
-            if local.tzname().isalpha():
-                found.setdefault(local.tzname().upper(), set()).add(int(local.utcoffset().total_seconds()))
-        rows.append((zone, {k: sorted(v) for k, v in found.items()}))
-    return spark.createDataFrame(rows, "_zone string, _abbr map<string,array<int>>")
+    """(zone, abbreviation -> offsets in seconds); bounded by the zones."""
+    return spark.createDataFrame([(zone, _offsets(zone)) for zone in _zones(spark)], "_zone string, _abbr map<string,array<int>>")
 
 
 def _shift(us: Column, zone: Column) -> Column:
@@ -146,7 +165,9 @@ def readings(stamps: DataFrame) -> DataFrame:
     spark = stamps.sparkSession
     zones = _zones(spark)
     abbr = F.broadcast(abbreviations(spark))
-    venue = F.when(F.col("venue_zone").isin(zones), F.col("venue_zone")).when(F.col("venue_zone").isNull(), "UTC")
+    listed = ", ".join(f"'{z}'" for z in zones)
+    venue = F.when(F.expr(f"venue_zone IN ({listed})"), F.col("venue_zone")).when(F.col("venue_zone").isNull(), "UTC")
+    every_zone = F.expr(f"array({listed})")
     df = stamps.withColumns({"_t": F.regexp_replace("raw_timestamp", r"^\s+|\s+$", ""), "_zone": venue}).join(abbr, "_zone", "left")
     none = F.array().cast("array<bigint>")
     home = F.coalesce("_zone", F.lit("UTC"))
@@ -154,8 +175,7 @@ def readings(stamps: DataFrame) -> DataFrame:
     def instants(x: Column) -> Column:
         named = F.coalesce(F.element_at("_abbr", F.upper(x.zone)), F.when(F.upper(x.zone).isin("UTC", "GMT"), F.array(F.lit(0))), F.array().cast("array<int>"))
         at = (
-            F.when(x.region.isin(zones), _in_zone(x.wall, F.when(x.region.isin(zones), x.region).otherwise("UTC")))
-            .when(x.region != "", none)
+            F.when(x.region != "", F.when(F.array_contains(every_zone, x.region), _in_zone(x.wall, F.when(F.array_contains(every_zone, x.region), x.region).otherwise("UTC"))).otherwise(none))
             .when(F.upper(x.zone) == "Z", F.array(x.wall))
             .when(x.zone.rlike("^[+-]"), F.array(x.wall - _offset_us(x.zone)))
             .when(x.zone != "", F.array_sort(F.array_distinct(F.transform(named, lambda o: x.wall - o.cast("long") * 1_000_000))))
@@ -170,48 +190,83 @@ def readings(stamps: DataFrame) -> DataFrame:
     return df.withColumn("_c", F.coalesce(every, F.array().cast(READING))).drop("_t", "_zone", "_abbr")
 
 
+def mixture(forms: list[list[str]], steps: list[list[int]], n: np.ndarray, log_delay: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Posteriors of the readings of each of one source's patterns.
+
+    ``forms`` and ``steps`` give a pattern's readings, ``n`` how many stamps show
+    it, ``log_delay`` their summed logarithm of the delay of the latest reading
+    (NaN where the receipt is unknown).
+    """
+    labels = {f: i for i, f in enumerate(sorted({f for p in forms for f in p}))}
+    size = np.array([len(p) for p in forms])
+    of = np.repeat(np.arange(len(forms)), size)
+    at = np.concatenate([[0], np.cumsum(size)[:-1]])
+    form = np.array([labels[f] for p in forms for f in p])
+    away = np.array([d for p in steps for d in p], dtype=float) * STEP_S
+    known = ~np.isnan(log_delay)
+    weight = 1.0 / size[of]
+    for _ in range(rounds + 1):
+        share = np.bincount(form, weights=weight * n[of], minlength=len(labels))
+        share = np.maximum(share / share.sum(), LEAST)
+        scale = DELAY_S
+        if known.any():
+            # Mean logarithms, as a few deliveries that come days late would carry a plain mean away.
+            delay = np.exp(log_delay[known] / n[known])
+            logs = np.log(delay[np.cumsum(known)[of[known[of]]] - 1] + away[known[of]])
+            w = (weight * n[of])[known[of]]
+            scale = float(np.clip(np.exp((w * logs).sum() / w.sum() + EULER), 1.0, DELAY_S))
+        ll = np.log(share[form]) - away / scale
+        p = np.exp(ll - np.maximum.reduceat(ll, at)[of])
+        weight = p / np.add.reduceat(p, at)[of]
+    return np.split(weight, at[1:])
+
+
+def _judge_rounds(rounds: int):
+    def run(table: pa.Table) -> pa.Table:
+        logs = np.array([np.nan if x is None else x for x in table["log_delay"].to_pylist()], dtype=float)
+        found = mixture(table["forms"].to_pylist(), table["steps"].to_pylist(), table["n"].to_numpy().astype(float), logs, rounds)
+        best = [int(np.argmax(p)) for p in found]
+        out = table.select(["source", "forms", "steps", "known"]).append_column("best", pa.array(best, pa.int32()))
+        return out.append_column("posterior", pa.array([float(p[i]) for p, i in zip(found, best)], pa.float64()))
+
+    return run
+
+
 def normalise(stamps: DataFrame, source: str = "symbol", rounds: int = ROUNDS) -> DataFrame:
-    """(stamp_id, utc_us, form, posterior, ambiguous, n_readings); utc_us is null where no reading is valid.
+    """(stamp_id, utc_us, form, posterior, ambiguous, n_readings); utc_us is null where no reading is valid or none is sure.
 
-    Stamps with one reading give fixed counts; only ambiguous ones take part in
-    the rounds. Shares per (source, form) are summed before they are shuffled and
-    joined by source, so they may outgrow a broadcast.
+    One pass reads the stamps; patterns are counted before their shuffle by
+    source, all rounds run on a source's patterns at once, and stamps with several
+    readings take their pattern's posterior by an equi-join.
     """
     got = F.unix_micros(F.col("received_at").cast("timestamp"))
     df = readings(stamps.select("stamp_id", F.col(source).alias("source"), "venue_zone", "raw_timestamp", "received_at"))
-    alone = F.size(F.array_distinct(F.transform("_c", lambda c: c.us))) == 1
-    in_time = F.filter("_c", lambda c: c.us <= got)
-    kept = F.when(got.isNull(), F.when(alone, F.col("_c")).otherwise(F.array().cast(READING))).otherwise(in_time)
-    # Forms that agree on the instant are one reading, under the first form's label.
-    once = F.filter(kept, lambda c, i: F.array_position(F.transform(kept, lambda x: x.us), c.us) == i + 1)
-    cand = F.transform(once, lambda c: F.struct(c.form.alias("form"), c.us.alias("us"), F.coalesce(-(got - c.us) / (1e6 * DELAY_S), F.lit(0.0)).alias("ll")))
-    df = cut_lineage(df.select("stamp_id", "source", cand.alias("c"), F.size("_c").alias("n_readings")))
-    fixed = df.where(F.size("c") == 1).select("source", F.col("c")[0].form.alias("form"), F.lit(1.0).alias("p"))
-    open_ = df.where(F.size("c") > 1)
-    even = open_.select("source", F.explode(F.transform("c", lambda c: F.struct(c.form.alias("form"), (F.lit(1.0) / F.size("c")).alias("p")))).alias("r")).select("source", "r.*")
-    fixed = fixed.groupBy("source", "form").agg(F.sum("p").alias("p"))
-
-    def shares(soft: DataFrame) -> DataFrame:
-        each = fixed.unionByName(soft).groupBy("source", "form").agg(F.sum("p").alias("p"))
-        per = each.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("form", "p"))).alias("_m"), F.sum("p").alias("_n"))
-        return per.select(F.col("source").alias("_s"), "_m", "_n")
-
-    def weigh(rows: DataFrame, mix: DataFrame) -> DataFrame:
-        share = lambda form: F.greatest(F.coalesce(F.element_at("_m", form) / F.col("_n"), F.lit(0.0)), F.lit(LEAST))
-        j = rows.join(mix, F.col("source").eqNullSafe(F.col("_s")), "left")
-        j = j.withColumn("w", F.transform("c", lambda c: F.struct(c.form.alias("form"), c.us.alias("us"), (c.ll + F.log(share(c.form))).alias("l")))).drop("_m", "_n", "_s")
-        top = F.array_max(F.transform("w", lambda x: x.l))
-        j = j.withColumn("e", F.transform("w", lambda x: F.exp(x.l - top)))
-        total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-        return j.withColumn("r", F.transform(F.arrays_zip("w", "e"), lambda z: F.struct((z.e / total).alias("p"), z.w.us.alias("us"), z.w.form.alias("form")))).drop("w", "e")
-
-    mix = cut_lineage(shares(even))
-    for _ in range(rounds):
-        soft = weigh(open_, mix).select("source", F.explode("r").alias("r")).select("source", "r.form", "r.p")
-        mix = cut_lineage(shares(soft))
-    chosen = weigh(open_, mix).withColumn("b", F.array_max("r"))
-    settled = chosen.select("stamp_id", F.col("b.us").alias("utc_us"), F.col("b.form").alias("form"), F.col("b.p").alias("posterior"), "n_readings")
-    rest = df.where(F.size("c") <= 1).select("stamp_id", F.get("c", F.lit(0)).us.alias("utc_us"), F.get("c", F.lit(0)).form.alias("form"), F.when(F.size("c") == 1, 1.0).alias("posterior"), "n_readings")
+    in_time = F.when(got.isNull(), F.col("_c")).otherwise(F.filter("_c", lambda c: c.us <= got))
+    # Forms that agree on the instant are one reading, under the first form's label; the latest comes first.
+    once = F.filter(in_time, lambda c, i: F.array_position(F.transform(in_time, lambda x: x.us), c.us) == i + 1)
+    late_first = F.reverse(F.array_sort(F.transform(once, lambda c: F.struct(c.us.alias("us"), c.form.alias("form")))))
+    df = df.select("stamp_id", "source", F.size("_c").alias("n_readings"), got.alias("_got"), late_first.alias("c"))
+    latest = F.get("c", F.lit(0)).us
+    away = F.transform("c", lambda c: F.when(F.col("_got").isNull(), 0).otherwise(F.least(F.round((latest - c.us) / (1e6 * STEP_S)), F.lit(STEPS))).cast("int"))
+    df = df.select(
+        "stamp_id", "source", "n_readings", F.transform("c", lambda c: c.us).alias("us"), F.transform("c", lambda c: c.form).alias("forms"), away.alias("steps"),
+        F.when(F.col("_got").isNotNull(), F.log(F.greatest((F.col("_got") - latest) / 1e6, F.lit(0.5)))).alias("log_delay"),
+    )
+    df = cut_lineage(df)
+    # Stamps without receipt are patterns of their own: nothing but shares can part their readings.
+    df = df.withColumn("known", F.col("log_delay").isNotNull())
+    counted = df.where(F.size("forms") > 0).groupBy("source", "forms", "steps", "known").agg(F.count(F.lit(1)).alias("n"), F.sum("log_delay").alias("log_delay"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = f"source {kinds['source']}, forms array<string>, steps array<int>, known boolean, best int, posterior double"
+    judged = counted.groupBy("source").applyInArrow(_judge_rounds(rounds), schema).select(*[F.col(c).alias(f"_{c}") for c in ("source", "forms", "steps", "known", "best", "posterior")])
+    several = df.where(F.size("us") > 1)
+    same = several["source"].eqNullSafe(F.col("_source")) & (several["forms"] == F.col("_forms")) & (several["steps"] == F.col("_steps")) & (several["known"] == F.col("_known"))
+    settled = several.join(judged, same).withColumn("_taken", F.col("known") | (F.col("_posterior") >= SURE))
+    settled = settled.select(
+        "stamp_id", F.when(F.col("_taken"), F.get("us", F.col("_best"))).alias("utc_us"), F.when(F.col("_taken"), F.get("forms", F.col("_best"))).alias("form"), F.col("_posterior").alias("posterior"), "n_readings"
+    )
+    first = F.lit(0)
+    rest = df.where(F.size("us") <= 1).select("stamp_id", F.get("us", first).alias("utc_us"), F.get("forms", first).alias("form"), F.when(F.size("us") == 1, 1.0).alias("posterior"), "n_readings")
     return settled.unionByName(rest).withColumn("ambiguous", F.coalesce(F.col("posterior") < SURE, F.lit(False)))
 
 

@@ -106,3 +106,34 @@ def test_missing_receipt_zone_and_tables(spark):
 @pytest.mark.parametrize("text", ["2" * 50_000, "1 " * 20_000, "Jan " * 5000])
 def test_long_texts(spark, text):
     assert instants(spark.createDataFrame([(1, "A", None, text, LATER, 1.0, "x", 1)], SCHEMA)).count() == 0
+
+
+def test_shares_decide_where_the_receipt_is_unknown(spark):
+    """Without receipt the source's learnt order decides; without rounds, or in a source of both orders, the stamp stays open."""
+    rows, r = [], random.Random(3)
+    for i in range(300):
+        t = datetime(2024, r.randint(1, 12), r.randint(13, 28), 9, r.randint(0, 59))
+        rows.append((i, "D", None, t.strftime("%d/%m/%Y %H:%M:%S"), t + timedelta(seconds=r.randint(1, 90)), 1.0, "x", 1))
+        rows.append((1000 + i, "B", None, t.strftime("%d/%m/%Y %H:%M:%S" if i % 2 else "%m/%d/%Y %H:%M:%S"), t + timedelta(seconds=5), 1.0, "x", 1))
+    asked = [(5000, "D", None, "03/04/2024 10:00:00", None, 1.0, "x", 1), (5001, "B", None, "03/04/2024 10:00:00", None, 1.0, "x", 1), (5002, None, None, "03/04/2024 10:00:00", None, 1.0, "x", 1)]
+    df = spark.createDataFrame(rows + asked, SCHEMA)
+    got = {x.stamp_id: x for x in normalise(df).where("stamp_id >= 5000").collect()}
+    assert got[5000].utc_us == us(2024, 4, 3, 10) and not got[5000].ambiguous and got[5000].form == "dmy"
+    for k in (5001, 5002):
+        assert got[k].utc_us is None and got[k].ambiguous and 0.4 < got[k].posterior < 0.6
+    even = {x.stamp_id: x for x in normalise(df.where("stamp_id >= 5000")).collect()}
+    assert all(x.utc_us is None and x.ambiguous for x in even.values())
+
+
+def test_mixture_learns_shares_and_delay():
+    import numpy as np
+
+    from barlake.operators.stamps import mixture
+
+    # 90 certain "a", 10 certain "b", delays of 2 s; readings 10 s apart are decided by the scale, at no distance by the shares.
+    forms, steps = [["a"], ["b"], ["b", "a"], ["b", "a"]], [[0], [0], [0, 1], [0, 0]]
+    n = np.array([90.0, 10.0, 1.0, 1.0])
+    quick = mixture(forms, steps, n, np.array([90 * np.log(2), 10 * np.log(2), np.log(2), np.nan]))
+    assert quick[2][0] > 0.6 and quick[3][1] > 0.85
+    slow = mixture(forms, steps, n, np.array([90 * np.log(60), 10 * np.log(60), np.log(60), np.nan]))
+    assert slow[2][0] < 0.2
