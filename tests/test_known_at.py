@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from barlake.operators.known_at import FOREVER, LEAF_BITS, known_close, leaking_signals, nodes_of_instant, nodes_of_interval
+from barlake.operators.known_at import FOREVER, LEAF_BITS, known_close, leaf_bits, leaking_signals, nodes_of_instant, nodes_of_interval
 from tests.test_late_events import SCHEMA
 
 SIGNALS = "signal_id long, symbol string, decided_at timestamp_ntz, close_used double, known_close string, level int"
@@ -64,6 +64,26 @@ def test_known_close_equals_brute_force(spark):
     assert {x.signal_id for x in leaking_signals(s, c).collect()} == {k for k in want if want[k] != used[k]}
 
 
+def test_splitting_busy_nodes_changes_nothing(spark):
+    r = random.Random(9)
+    rows = [T0 + timedelta(hours=k * 7) for k in range(60)]
+    chunks = [chunk(1, "H", rows[:50], None, [float(k) for k in range(50)], False), chunk(2, "T", [T0], None, [7.0], False)]
+    signals = [(i, "H" if i % 10 else "T", T0 + timedelta(minutes=r.randint(-500, 60_000)), None, "x", 1) for i in range(800)]
+    c, s = spark.createDataFrame(chunks, SCHEMA), spark.createDataFrame(signals, SIGNALS)
+    want = brute(chunks, signals)
+    for most in (3, 40, 50_000):
+        assert {x.signal_id: x.known_close for x in known_close(s, c, node_events=most).collect()} == want
+
+
+def test_leaves_follow_the_busiest_source(spark):
+    minute = [T0 + timedelta(minutes=k) for k in range(2000)]
+    c = spark.createDataFrame([chunk(1, "M", minute, None, [1.0] * 2000, False)], SCHEMA).withColumns({"time_start": F.lit(minute[0]).cast("timestamp_ntz"), "time_end": F.lit(minute[-1]).cast("timestamp_ntz"), "row_count": F.lit(2000)})
+    assert 1 << leaf_bits(c) <= 60_000_000 < 1 << (leaf_bits(c) + 2)
+    signals = [(i, "M", T0 + timedelta(seconds=i * 50, microseconds=i % 3 - 1), None, "x", 1) for i in range(1, 1000)]
+    got = {x.signal_id: x.known_close for x in known_close(spark.createDataFrame(signals, SIGNALS), c).collect()}
+    assert all(v == 1.0 for v in got.values()) and len(got) == 999
+
+
 def test_precedence_at_equal_times(spark):
     late = T0 + timedelta(days=1)
     chunks = [chunk(1, "A", [T0], None, [1.0], False), chunk(5, "A", [T0, T0], [T0, T0], [2.0, 3.0], True), chunk(4, "A", [T0], [T0], [9.0], True), chunk(6, "A", [T0], [late], [4.0], True)]
