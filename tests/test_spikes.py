@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlake.functions.forest import Forest
+from barlake.functions.forest import Forest, cleaned
 from barlake.operators.spikes import SHORT_RUN, _usual_run, mark_spikes
 from barlake.operators.timeshards import with_shards
 
@@ -212,3 +212,71 @@ def test_other_volumes_of_later_deliveries_are_judged(spark, target):
     bad -= {stuck + 4}
     df = spark.createDataFrame(rows + late, SCHEMA)
     assert {r.ingest_seq for r in mark_spikes(df, flagged_only=True, target_rows=target).collect()} == bad
+
+
+def spoiled(seed, sources=12, n=1200):
+    """Sources of different temper with faults of random size and place, no two within 40 readings."""
+    rng = np.random.default_rng(seed)
+    rows, bad = [], set()
+    for s in range(sources):
+        own = walk(f"S{s}", n, 1000 * seed + s, first=s * n, step=float(rng.choice([0.0003, 0.001, 0.004])))
+        step = np.median(np.abs(np.diff(np.log([r[6] for r in own]))))
+        for at in np.sort(rng.choice(np.arange(2, n // 40 - 1), 9, replace=False)) * 40:
+            at, kind = int(at), rng.integers(4)
+            if kind == 0:  # closes that jump and come back
+                for i in range(at, at + int(rng.integers(1, 4))):
+                    own[i][6] *= float(np.exp(rng.choice([-1, 1]) * step * rng.uniform(20, 60)))
+                    own[i][4], own[i][5] = max(own[i][4], own[i][6]), min(own[i][5], own[i][6])
+                    bad.add(own[i][0])
+            elif kind == 1:  # a wick
+                own[at][4] *= float(np.exp(step * rng.uniform(25, 80)))
+                bad.add(own[at][0])
+            elif kind == 2:  # a burst of volume
+                own[at][7] *= float(np.exp(rng.uniform(5.5, 8)))
+                bad.add(own[at][0])
+            else:  # a stuck close
+                for i in range(at + 1, at + int(rng.integers(8, 20))):
+                    for k in (3, 4, 5, 6):
+                        own[i][k] = own[at][6]
+                    bad.add(own[i][0])
+        rows += own
+    return rows, bad
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_faults_of_unseen_sources_are_found(spark, seed):
+    rows, bad = spoiled(seed)
+    got = {r.ingest_seq for r in mark_spikes(spark.createDataFrame(rows, SCHEMA), flagged_only=True).collect()}
+    assert len(got & bad) >= 0.95 * len(bad) and len(got & bad) >= 0.95 * len(got), (len(bad), len(got), len(got & bad))
+
+
+def test_the_forest_decides(spark):
+    """With every reading let through, the exact checks alone find far more; with none, only physical limits are left."""
+    rows, bad = spoiled(4, sources=3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = lambda odd: {r.ingest_seq for r in mark_spikes(df, flagged_only=True, odd=odd).collect()}
+    assert found(2.0) == set() and found(0.72) == bad and len(found(0.0)) > 5 * len(bad)
+
+
+@pytest.mark.parametrize("target", [10**6, 700, 150])
+def test_one_forest_for_a_source_however_it_is_cut(spark, target):
+    """One day of 3,000 readings: cut within the day, scores and verdicts as of the whole."""
+    rows, bad = spoiled(5, sources=1, n=3000)
+    t0 = datetime(2024, 1, 1)
+    for i, r in enumerate(rows):
+        r[2] = t0 + timedelta(seconds=20 * i)
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = mark_spikes(df, target_rows=target).toPandas()
+    assert len(out) == 3000 and set(out.ingest_seq[out.spike | out.stuck | out.impossible]) == bad
+    seen = with_shards(df, "symbol", "timestamp", target, 64)
+    most = seen.groupBy("_shard").count().agg(F.max("count")).first()[0]
+    assert most <= (3000 if target > 3000 else 1.3 * target + 2 * 64 + target // 4)
+    assert seen.where("_own").count() == 3000
+
+
+def test_a_pool_full_of_faults_is_cleaned():
+    rng = np.random.default_rng(3)
+    pool = np.abs(rng.normal(0, 1, (300, 2)))
+    pool[:12] += 40
+    f = cleaned(pool, 1, [(0,), (1,)], 0.6)
+    assert f.score(np.array([[41.0, 0.5], [0.5, 25.0]])).min() > 0.72 > f.score(np.abs(rng.normal(0, 1, (500, 2)))).max()
