@@ -128,6 +128,6 @@ def custom(rows: DataFrame, crosses: Callable[[datetime, datetime], bool]) -> Da
     return _placed(rows).groupBy("symbol").applyInPandas(cut, schema)
 
 
-def chunk_key() -> Column:
-    """A stable 64-bit name of a chunk; (symbol, chunk_start) is the exact one."""
-    return F.xxhash64("symbol", _us("chunk_start"))
+def chunk_key(salt: int = 0) -> Column:
+    """A stable 64-bit name of a chunk; (symbol, chunk_start) is the exact one, and a written store takes a ``salt`` under which no two names meet."""
+    return F.xxhash64("symbol", _us("chunk_start"), F.lit(salt)) if salt else F.xxhash64("symbol", _us("chunk_start"))

@@ -37,6 +37,12 @@ class QueryResult:
     def pushdown(self) -> Pushdown | None:
         return self.store.pushdown(self.predicate, self.as_of) if self.prunes else None
 
+    @property
+    def files(self) -> tuple[int, int] | None:
+        """How many of the base's files the plan opens, and how many there are; None where the store was not written."""
+        picked = self.store.files(self.predicate, self.as_of) if self.prunes else None
+        return None if picked is None else (len(picked), len(self.store._files["base"].names))
+
     @property
     def selectivity(self) -> float:
         """Share of the stored rows, superseded ones included."""

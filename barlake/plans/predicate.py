@@ -1,8 +1,8 @@
-"""Predicates as a small tree with two lowerings: onto rows and onto zone maps.
+"""Predicates as a small tree with lowerings onto rows, onto zone maps and onto bounds of files.
 
 The row lowering gives an ordinary Column, so Catalyst pushes it into scans. The
 zone lowering gives a Column over the zone map that is false only where no row
-of the chunk can match.
+of the chunk can match; the same over arrays of bounds picks files.
 """
 
 from __future__ import annotations
@@ -42,6 +42,17 @@ def _apply(op: str, left: Column, right: Column) -> Column:
     return {"=": left == right, "<": left < right, ">": left > right, "<=": left <= right, ">=": left >= right}[op]
 
 
+def _may(op: str, low, high, value):
+    """Whether something between the bounds can stand in the relation; for Columns and for arrays."""
+    return {"=": (low <= value) & (high >= value), ">=": high >= value, ">": high > value, "<=": low <= value, "<": low < value}[op]
+
+
+def instant_us(value: datetime, column_type: T.DataType | None) -> int:
+    """A time literal, fitted to the data's kind of time, in microseconds."""
+    fitted = align(value, column_type or T.TimestampType())
+    return _micros(fitted if fitted.tzinfo else fitted.replace(tzinfo=timezone.utc))
+
+
 def _bound(column: str) -> None:
     if column not in TYPES:
         raise ValueError(f"unknown column: {column!r}")
@@ -77,8 +88,16 @@ class Comparison:
         if zone == "price" and math.isnan(self.value):
             return F.lit(False)
         low, high = (F.col("time_start"), F.col("time_end")) if zone == "time" else (F.col("min_price"), F.col("max_price"))
-        v = literal(self.value, types.get(self.column))
-        return {"=": (low <= v) & (high >= v), ">=": high >= v, ">": high > v, "<=": low <= v, "<": low < v}[self.operator]
+        return _may(self.operator, low, high, literal(self.value, types.get(self.column)))
+
+    def on_bounds(self, low: dict, high: dict, types: dict[str, T.DataType]):
+        """Over arrays of bounds per zone (symbols have bounds as well there)."""
+        zone = ZONES.get(self.column)
+        if zone is None:
+            return True
+        if zone == "price" and math.isnan(self.value):
+            return False
+        return _may(self.operator, low[zone], high[zone], instant_us(self.value, types.get(self.column)) if zone == "time" else self.value)
 
     def describe(self) -> str:
         return f"{self.column} {self.operator} {self.value!r}"
@@ -102,6 +121,9 @@ class In:
     def on_zones(self, types: dict[str, T.DataType]) -> Column:
         return reduce(or_, [Comparison(self.column, "=", v).on_zones(types) for v in self._usable()], F.lit(False))
 
+    def on_bounds(self, low: dict, high: dict, types: dict[str, T.DataType]):
+        return reduce(or_, [Comparison(self.column, "=", v).on_bounds(low, high, types) for v in self._usable()], False)
+
     def describe(self) -> str:
         return f"{self.column} IN ({', '.join(map(repr, self.values))})"
 
@@ -116,6 +138,9 @@ class And:
     def on_zones(self, types: dict[str, T.DataType]) -> Column:
         return reduce(and_, [c.on_zones(types) for c in self.children])
 
+    def on_bounds(self, low: dict, high: dict, types: dict[str, T.DataType]):
+        return reduce(and_, [c.on_bounds(low, high, types) for c in self.children])
+
     def describe(self) -> str:
         return " AND ".join(c.describe() for c in self.children)
 
@@ -128,6 +153,9 @@ class AlwaysTrue:
     def on_zones(self, types: dict[str, T.DataType]) -> Column:
         return F.lit(True)
 
+    def on_bounds(self, low: dict, high: dict, types: dict[str, T.DataType]):
+        return True
+
     def describe(self) -> str:
         return "TRUE"
 
