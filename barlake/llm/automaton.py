@@ -11,7 +11,7 @@ order produces, so a word has one accepted reading.
 Written out, the arcs of a 50k vocabulary would be billions. They are kept by
 the gadget that removes them instead: an arc ``b`` is missing in ``a``'s state if and
 only if some gadget (u, v) removed it from a state whose arcs ``a`` inherited (``u``
-ends ``a`` and was not yet merged away inside it) for an arc from which ``b``'s stem
+ends ``a`` and was not yet merged away inside it) for an arc from which ``b`` stems
 (``v`` begins ``b``, likewise). ``Tables`` holds those inherited chains with the rank
 at which each ended; asked arcs are kept, so the hot part of the automaton is a
 table.
@@ -84,7 +84,7 @@ def compile_merges(vocabulary_path: str) -> Tables:
 
 
 class Automaton:
-    """Reads words along the arcs; ``arcs`` is the part of the transition table asked for so far."""
+    """Reads words along the arcs; ``arcs`` is the part of the transition table asked for so far, decided once and then looked up."""
 
     ARCS = 2_000_000
 
@@ -113,53 +113,42 @@ class Automaton:
         return known
 
     def encode(self, word: bytes) -> tuple[int, ...]:
-        """The accepted reading of one pre-split word."""
+        """The accepted reading of one pre-split word.
+
+        Every prefix of a word has one accepted reading, so the state reached at
+        each place, its last token, is settled once and for all when the places
+        before it are: one pass from left to right along the arcs, and the reading is
+        followed back from the end.
+        """
         whole = self.t.ids.get(word)
         if whole is not None:
             return (whole,)
         trie, arcs, has_arc = self.t.trie, self.arcs, self.has_arc
-        n, at, last = len(word), 0, -1
-        path: list[int] = []
-        ends: list[int] = [0]
-        choices: list[list[tuple[int, int]]] = []
-        dead: set[int] = set()
-        moved = True
-        while at < n:
-            if moved:
-                node, options = 0, []
-                for i in range(at, n):
-                    step = trie[node].get(word[i])
-                    if step is None:
-                        break
-                    node, token = step
-                    if token >= 0:
-                        options.append((i + 1, token))
-                choices.append(options)
-            else:
-                options = choices[-1]
-            moved = False
-            while options:
-                end, token = options.pop()
-                if end in dead:
-                    continue
-                if last >= 0:
-                    open_ = arcs.get((last << 20) | token)
-                    if not (has_arc(last, token) if open_ is None else open_):
-                        continue
-                path.append(token)
-                ends.append(end)
-                at, last, moved = end, token, True
-                break
-            if not moved:
-                # A prefix has one accepted reading, so a place that leads nowhere leads nowhere however it is reached.
-                if not path:
-                    raise ValueError("the vocabulary misses a byte")
-                dead.add(at)
-                choices.pop()
-                path.pop()
-                ends.pop()
-                at, last = ends[-1], path[-1] if path else -1
-        return tuple(path)
+        n = len(word)
+        last, begin = [-1] * (n + 1), [0] * (n + 1)
+        for at in range(n):
+            state = last[at]
+            if at and state < 0:
+                continue
+            node = 0
+            for i in range(at, n):
+                step = trie[node].get(word[i])
+                if step is None:
+                    break
+                node, token = step
+                if token >= 0 and last[i + 1] < 0:
+                    if at:
+                        open_ = arcs.get((state << 20) | token)
+                        if not (has_arc(state, token) if open_ is None else open_):
+                            continue
+                    last[i + 1], begin[i + 1] = token, at
+        path, i = [], n
+        while i:
+            if last[i] < 0:
+                raise ValueError("the vocabulary misses a byte")
+            path.append(last[i])
+            i = begin[i]
+        return tuple(path[::-1])
 
     def decode(self, ids: list[int]) -> bytes:
         """The labels along the arcs."""

@@ -3,7 +3,8 @@
 Texts are pre-split by the vocabulary's pattern; each word is read by the
 automaton of ``automaton.py`` once per task and kept, so a task's work follows its
 text and its distinct words. Tables are compiled once on the driver and shipped;
-their size is the vocabulary's. No shuffle.
+their size is the vocabulary's. No shuffle at any size: tasks follow the splits of
+the files, as sending a corpus over the network costs more than reading it.
 
 Defined cases: null and empty texts give an empty list; strings of special
 tokens are ordinary text; texts of any length are encoded whole; rows are kept
@@ -13,6 +14,7 @@ one to one, repeats included, and other columns are left out.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,16 +55,6 @@ def tables(spark: SparkSession, vocabulary: str = VOCABULARY):
     return spark.sparkContext.broadcast(_compiled[vocabulary])
 
 
-#: Tables up to this size by Catalyst's estimate may lie in fewer files than there are cores.
-FEW_BYTES = 32 << 20
-
-
-def spread(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """``picked`` over all cores if ``docs``, which it is taken from, is so small that its files may not reach; larger tables stay as they lie."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return picked.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size <= FEW_BYTES else picked
-
-
 def splitter() -> Callable[[str], list[str]]:
     """Splits a text into words by PATTERN.
 
@@ -100,7 +92,7 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter()
         encode = Automaton(shipped.value).encode
-        words = _Words(lambda w: np.array(encode(w), dtype=np.int32).tobytes())
+        words = _Words(lambda w: array("i", encode(w)).tobytes())
         for batch in batches:
             rows = [np.frombuffer(b"".join(map(words.__getitem__, split(t))), dtype=np.int32) for t in _texts(batch.column(1))]
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
@@ -110,7 +102,7 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
                 words.clear()
 
     kind = docs.schema[key].dataType.simpleString()
-    picked = spread(docs, docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
+    picked = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     return picked.mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
@@ -129,7 +121,7 @@ def count_tokens(docs: DataFrame, key: list[str], text: str = "text", vocabulary
             if len(sizes) > 4 * KEPT_WORDS:
                 sizes.clear()
 
-    picked = spread(docs, docs.select(*key, F.col(text).alias("_text")))
+    picked = docs.select(*key, F.col(text).alias("_text"))
     schema = ", ".join([f"`{k}` {picked.schema[k].dataType.simpleString()}" for k in key] + ["tokens long"])
     return picked.mapInArrow(run, schema)
 

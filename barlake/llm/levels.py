@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.encode import spread
 from barlake.session import cut_lineage
 
 BUCKETS, BINS, ROUNDS, CUT_SAMPLE = 1 << 16, 17, 2, 20_000
@@ -49,7 +48,6 @@ def prose_words(docs: DataFrame, lang: str = "en") -> DataFrame:
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     cells = F.transform(F.filter("cells", lambda c: (c.cell_type == "text") & (c.start_char >= 0) & (c.n_chars > 0)), lambda c: F.struct(c.start_char.alias("a"), c.n_chars.alias("n")))
     picked = docs.where((F.col("lang") == lang) & F.col("text").isNotNull() & F.col("cells").isNotNull()).select("doc_id", "text", cells.alias("cells"))
-    picked = spread(docs, picked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -131,8 +129,8 @@ def _counts(rows: DataFrame, model, bins: np.ndarray) -> np.ndarray:
 
     cells = rows.select("words", F.col("level").cast("double")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS * len(bins))
-    for r in cells.collect():
-        out[r.cell] = r.n
+    found = cells.toArrow()
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(BUCKETS, len(bins))
 
 

@@ -76,3 +76,44 @@ def test_plan_repeats_blocks_no_more_than_allowed():
 def test_empty(spark, docs, targets):
     assert mixture_report(docs.limit(0), targets).where("drawn_tokens > 0 OR short").count() == 0
     assert mixture_report(docs, targets.limit(0)).count() == mixture(docs.limit(0), targets).count() == 0
+
+
+def test_quotas_are_met_to_within_one_record(docs, targets):
+    rows = mixture(docs, targets).collect()
+    report = {r.name: r for r in mixture_report(docs, targets).collect()}
+    total = sum(r.source_tokens for r in report.values())
+    for name, share in (("big", 0.5), ("mid", 0.3)):
+        largest = max(x.tokens for x in rows if x.name == name)
+        assert 0 <= report[name].drawn_tokens - share * total < largest
+    texts = mixture(docs, targets, texts=True)
+    assert texts.columns == ["shard", "place", "doc_id", "name", "copy", "text"]
+    key = lambda x: (x.shard, x.place, str(x.doc_id), x.copy)
+    assert sorted(map(key, texts.collect())) == sorted(map(key, rows))
+
+
+def test_blocks_are_narrowed_down_before_they_are_cut(docs, targets, monkeypatch):
+    from barlake.llm import mixing
+
+    whole = sorted(map(tuple, mixture_report(docs, targets).collect()))
+    monkeypatch.setattr(mixing, "FEW", 1)
+    monkeypatch.setattr(mixing, "BLOCKS", 2)
+    few = {r.name: r for r in mixture_report(docs, targets).collect()}
+    assert {r[1] for r in whole} == set(few)
+    total = sum(r.source_tokens for r in few.values())
+    assert 0 <= few["big"].drawn_tokens - 0.5 * total < 60 and 0 <= few["mid"].drawn_tokens - 0.3 * total < 60
+
+
+def test_a_source_of_empty_texts_ends(spark):
+    df = spark.createDataFrame([(i, "", "hollow", "x", 1, "y", 2) for i in range(50)] + [(99, "some words here", "full", "x", 1, "y", 2)], DOCS)
+    t = spark.createDataFrame([("hollow", 0.5, 10**6, "x"), ("full", 0.5, 1, "x")], TARGETS)
+    report = {r.name: r for r in mixture_report(df, t).collect()}
+    assert report["hollow"].drawn_tokens == 0 == report["hollow"].passes and report["hollow"].short and not report["full"].short
+    assert {x.name for x in mixture(df, t).collect()} == {"full"}
+
+
+def test_large_deals_are_joined_by_key(docs, targets, monkeypatch):
+    from barlake.llm import mixing
+
+    shipped = sorted(map(str, mixture(docs, targets).collect()))
+    monkeypatch.setattr(mixing, "DEAL_ROWS", 0)
+    assert sorted(map(str, mixture(docs, targets).collect())) == shipped
