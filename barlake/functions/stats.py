@@ -19,6 +19,6 @@ def trimmed_stats(trials: DataFrame, group: str, value: str, kept: float = KEPT)
     return out.withColumns({"low": F.col("mean") - half, "high": F.col("mean") + half})
 
 
-def overlap(a: tuple[float, float], b: tuple[float, float]) -> bool:
-    """Whether two closed intervals share a point."""
-    return a[0] <= b[1] and b[0] <= a[1]
+def overlap(a, b):
+    """Whether two closed intervals share a point; bounds may be numbers or Columns."""
+    return (a[0] <= b[1]) & (b[0] <= a[1])

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlake.functions import tuning
 from barlake.functions.stats import trimmed_stats
 from barlake.operators.store import BarStore, cut
 from barlake.plans import zonemap
@@ -278,9 +279,7 @@ _prune("prune_price_disabled", "symbol = 'click' AND price > 90", "symbol = 'cli
 def prune_counts(spark, d):
     """The price clause's share in pruning, as candidate counts with and without it."""
     p = conjunction([Comparison("symbol", "=", "click"), Comparison("close", ">", 50.0)])
-    zones = store(spark, d, False).zones()
-    both = zonemap.mark_candidates(zonemap.mark_candidates(zones, p).withColumnRenamed("candidate", "priced"), p, use_price=False)
-    return both.agg(F.count(F.lit(1)).alias("total_chunks"), F.sum(F.col("priced").cast("long")).alias("with_price"), F.sum(F.col("candidate").cast("long")).alias("without_price"))
+    return tuning.price_attribution(store(spark, d, False).zones(), p)
 
 
 @_register(f"{ZONES} SELECT {SHOWN} FROM chunked WHERE NOT (symbol = 'click' AND st = (SELECT min(time_start) FROM zones WHERE symbol = 'click'))")
@@ -326,9 +325,10 @@ def store_stats(spark, d):
 
 @_register(f"{CTES} SELECT count(*) AS n_rows, (SELECT count(*) FROM bars) AS stored_rows, count(*) / (SELECT count(*) FROM bars) AS selectivity FROM bars WHERE {CLICK}")
 def selectivity(spark, d):
-    s = store(spark, d, False)
-    hit = F.col("symbol") == "click"
-    return s.base.agg(F.count(F.when(hit, 1)).alias("n_rows"), F.count(F.lit(1)).alias("stored_rows"), (F.count(F.when(hit, 1)) / F.count(F.lit(1))).alias("selectivity"))
+    """As a result reports it."""
+    result = Engine(store(spark, d, False), sort=False).execute(f"{FROM} WHERE {CLICK}")
+    share = result.selectivity
+    return spark.createDataFrame([(result.row_count, result.store.stats().first().total_rows, share)], "n_rows long, stored_rows long, selectivity double")
 
 
 @_register("WITH b AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, l_shipdate AS timestamp FROM lineitem) SELECT symbol, timestamp, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) > 1")
@@ -355,18 +355,18 @@ def load_summary_bars(spark, d):
 
 @_register(f"{CTES} SELECT median(close) AS threshold FROM bars WHERE {NUMBER}")
 def median_threshold(spark, d):
-    return bars(spark, d).where(~F.isnan("close")).agg(F.median("close").alias("threshold"))
+    return tuning.median_threshold(bars(spark, d))
 
 
 @_register(f"""{CTES}, span AS (SELECT min(timestamp) AS t0, max(timestamp) AS t1 FROM bars), targets AS (SELECT unnest([1.0, 0.5, 0.1, 0.01, 0.001]::DOUBLE[]) AS target)
 SELECT target, count(b.timestamp) AS n_rows FROM targets CROSS JOIN span LEFT JOIN bars b ON b.timestamp >= t0 + to_microseconds(CAST(floor(epoch_us(t1) * (1 - target) - epoch_us(t0) * (1 - target)) AS BIGINT)) GROUP BY target""")
 def selectivity_sweep(spark, d):
     """Rows from a threshold on, placed so that about the target share of the time span remains."""
-    df = bars(spark, d).select(F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"))
-    t0, t1 = df.agg(F.min("us"), F.max("us")).first()
-    at = lambda target: t0 + int((t1 * (1 - target) - t0 * (1 - target)) // 1)
-    marks = [F.struct(F.lit(x).alias("target"), (F.col("us") >= at(x)).alias("hit")) for x in (1.0, 0.5, 0.1, 0.01, 0.001)]
-    return df.select(F.inline(F.array(*marks))).groupBy("target").agg(F.count(F.when(F.col("hit"), 1)).alias("n_rows"))
+    s = store(spark, d, False)
+    zones = s.zones().persist()
+    marks = [F.struct(F.lit(x).alias("target"), (F.col("timestamp") >= s.time(tuning.selectivity_threshold(zones, x))).alias("hit")) for x in (1.0, 0.5, 0.1, 0.01, 0.001)]
+    zones.unpersist()
+    return s.base.select(F.inline(F.array(*marks))).groupBy("target").agg(F.count(F.when(F.col("hit"), 1)).alias("n_rows"))
 
 
 @_register(f"{CTES} SELECT symbol, timestamp, close, volume FROM (SELECT symbol, timestamp, CASE WHEN {NUMBER} THEN close END AS close, volume FROM bars UNION ALL SELECT symbol, timestamp, close, volume FROM corrections)")

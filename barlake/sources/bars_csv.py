@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.schema import VALUES
-from barlake.session import prepare
+from barlake.session import cut_lineage, prepare
 from barlake.sources import validate
 
 TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
@@ -32,23 +32,32 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _typed(df: DataFrame) -> DataFrame:
-    """UTC times and doubles; missing numbers are NaN, impossible ones an error."""
-    validate.require_filled(df.drop("ingest_seq"))
+    """UTC times and doubles; missing numbers are NaN, impossible ones an error.
+
+    The text is parsed once, into the checkpoint that all checks and everything after them read.
+    """
     text = F.trim("timestamp")
-    parsed = df.withColumn("_t", F.when(text.rlike(TIME), F.expr("try_cast(trim(timestamp) AS timestamp)")))
     numbers = {c: F.trim(c).try_cast("double") for c in VALUES}
-    wrong = parsed.agg(
-        F.sum(F.col("_t").isNull().cast("int")).alias("timestamp"),
-        *[F.sum((F.col(c).isNotNull() & (F.trim(c) != "") & numbers[c].isNull()).cast("int")).alias(c) for c in VALUES],
+    parsed = df.select(
+        *[F.when(text.rlike(TIME), F.expr("try_cast(trim(timestamp) AS timestamp)")).alias(c) if c == "timestamp" else F.coalesce(numbers[c], F.lit(float("nan"))).alias(c) if c in VALUES else F.col(f"`{c}`") for c in df.columns],
+        F.struct(*[F.col(f"`{c}`").isNotNull().alias(c) for c in df.columns]).alias("_given"),
+        F.struct(*[(F.col(c).isNotNull() & (F.trim(c) != "") & numbers[c].isNull()).alias(c) for c in VALUES]).alias("_wrong"),
+    )
+    parsed = cut_lineage(parsed)
+    names = [c for c in df.columns if c != "ingest_seq"]
+    seen = parsed.agg(
+        F.struct(*[F.count(F.when(F.col("_given")[c], 1)).alias(c) for c in names]).alias("given"),
+        F.sum(F.col("timestamp").isNull().cast("int")).alias("timestamp"),
+        F.struct(*[F.sum(F.col("_wrong")[c].cast("int")).alias(c) for c in VALUES]).alias("wrong"),
     ).first()
-    if wrong["timestamp"]:
-        raise ValueError(f"timestamp must be ISO 8601 in every row; {wrong['timestamp']} rows are not")
-    bad = [c for c in VALUES if wrong[c]]
+    validate.reject_empty({c: seen.given[c] for c in names})
+    if seen["timestamp"]:
+        raise ValueError(f"timestamp must be ISO 8601 in every row; {seen['timestamp']} rows are not")
+    bad = [c for c in VALUES if seen.wrong[c]]
     if bad:
         raise ValueError(f"columns with values that are no number: {', '.join(bad)}")
-    typed = parsed.withColumn("timestamp", F.col("_t")).drop("_t").withColumns({c: F.coalesce(numbers[c], F.lit(float("nan"))) for c in VALUES})
     warnings.warn(f"read as double: {', '.join(VALUES)}", RuntimeWarning, stacklevel=3)
-    return typed
+    return parsed.drop("_given", "_wrong")
 
 
 def load_bars(spark: SparkSession, path: str) -> DataFrame:

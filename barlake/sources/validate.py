@@ -22,7 +22,10 @@ def require_columns(columns: list[str], required: list[str]) -> None:
 
 def require_filled(df: DataFrame) -> None:
     """No column may be null throughout; one pass over all columns."""
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first().asDict()
+    reject_empty(df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first().asDict())
+
+
+def reject_empty(counts: dict[str, int]) -> None:
     empty = sorted(c for c, n in counts.items() if not n)
     if empty:
         raise ValueError(f"columns without any value: {', '.join(empty)}")
