@@ -20,9 +20,17 @@ table.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
+
+import numpy as np
 
 NEVER = 1 << 60
+#: Words of more bytes are read one by one.
+LONG = 48
+#: Places of the kept part of the transition table, as a power of two.
+KEPT_BITS = 21
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -84,13 +92,131 @@ def compile_merges(vocabulary_path: str) -> Tables:
 
 
 class Automaton:
-    """Reads words along the arcs; ``arcs`` is the part of the transition table asked for so far, decided once and then looked up."""
+    """Reads words along the arcs; ``arcs`` is the part of the transition table asked for so far, decided once and then looked up.
+
+    ``encode_many`` reads many words at a time over the same tables held as arrays.
+    """
 
     ARCS = 2_000_000
 
     def __init__(self, tables: Tables):
         self.t = tables
         self.arcs: dict[int, bool] = {}
+        self._kept = np.full(1 << KEPT_BITS, -1, dtype=np.int64)
+        self._open = np.zeros(1 << KEPT_BITS, dtype=bool)
+
+    @cached_property
+    def _steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """The trie as a table node x byte -> node (0: none), and each node's token or -1."""
+        to, token = np.zeros((len(self.t.trie), 256), dtype=np.int32), np.full(len(self.t.trie), -1, dtype=np.int32)
+        for node, steps in enumerate(self.t.trie):
+            for byte, (nxt, t) in steps.items():
+                to[node, byte], token[nxt] = nxt, t
+        return to, token
+
+    @cached_property
+    def _chains(self) -> tuple[np.ndarray, ...]:
+        """Removed pairs in order with their ranks, and the chains at the ends and heads of tokens, one after the other."""
+        keys = np.array(sorted(self.t.removed), dtype=np.int64)
+        out = [keys, np.array([self.t.removed[k] for k in keys.tolist()], dtype=np.int64)]
+        for chains in (self.t.tails, self.t.heads):
+            size = np.array([len(c) for c in chains])
+            flat = np.array([x for c in chains for x in c], dtype=np.int64).reshape(-1, 2)
+            out += [np.concatenate([[0], np.cumsum(size)]), flat[:, 0], flat[:, 1]]
+        return tuple(out)
+
+    def _decide(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``has_arc`` of pairs."""
+        keys, ranks, tail_at, tail, tail_end, head_at, head, head_end = self._chains
+        tails, heads = tail_at[a + 1] - tail_at[a], head_at[b + 1] - head_at[b]
+        n = tails * heads
+        of = np.repeat(np.arange(len(a)), n)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        u, v = tail_at[a][of] + k // heads[of], head_at[b][of] + k % heads[of]
+        key = (tail[u] << 20) | head[v]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        cut = (keys[at] == key) & (ranks[at] < tail_end[u]) & (ranks[at] <= head_end[v])
+        found = np.ones(len(a), dtype=bool)
+        found[of[cut]] = False
+        return found
+
+    def _arcs_open(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The transition table at pairs; what it does not hold is decided and takes its place."""
+        key = (a.astype(np.int64) << 20) | b
+        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - KEPT_BITS)).astype(np.int64)
+        miss = np.flatnonzero(self._kept[at] != key)
+        found = self._open[at]
+        if len(miss):
+            new, back = np.unique(key[miss], return_inverse=True)
+            decided = self._decide(new >> 20, new & 0xFFFFF)
+            found[miss] = decided[back]
+            self._kept[at[miss]], self._open[at[miss]] = key[miss], decided[back]
+        return found
+
+    def encode_many(self, words: Iterable[bytes]) -> list[bytes]:
+        """The readings of pre-split words, each as 32-bit integers in bytes, by the same pass from left to right over all of them."""
+        words = list(words)
+        out: list[bytes] = [b""] * len(words)
+        short = []
+        for i, w in enumerate(words):
+            whole = self.t.ids.get(w)
+            if whole is not None:
+                out[i] = np.int32(whole).tobytes()
+            elif len(w) > LONG:
+                out[i] = np.array(self.encode(w), dtype=np.int32).tobytes()
+            elif w:
+                short.append(i)
+        if not short:
+            return out
+        to, token_at = self._steps
+        size = np.array([len(words[i]) for i in short])
+        order = np.argsort(-size, kind="stable")
+        size, short = size[order], [short[i] for i in order]
+        n, longest = len(short), int(size[0])
+        text = np.frombuffer(b"".join([words[i].ljust(longest, b"\0") for i in short]), dtype=np.uint8).reshape(n, longest).T.copy()
+        last, begin = np.full((longest + 1, n), -1, dtype=np.int32), np.zeros((longest + 1, n), dtype=np.int16)
+        reach = np.searchsorted(-size, -np.arange(longest + 1), side="left")  # words longer than k come first
+        for at in range(longest):
+            rows = np.arange(reach[at]) if not at else np.flatnonzero(last[at, : reach[at]] >= 0)
+            node = np.zeros(len(rows), dtype=np.int32)
+            state = last[at, rows]
+            for i in range(at, longest):
+                if i > at:
+                    within = rows < reach[i]
+                    rows, node, state = rows[within], node[within], state[within]
+                node = to[node, text[i, rows]]
+                live = node > 0
+                if not live.all():
+                    rows, node, state = rows[live], node[live], state[live]
+                if not len(rows):
+                    break
+                token = token_at[node]
+                ask = np.flatnonzero((token >= 0) & (last[i + 1, rows] < 0))
+                if at and len(ask):
+                    ask = ask[self._arcs_open(state[ask], token[ask])]
+                last[i + 1, rows[ask]], begin[i + 1, rows[ask]] = token[ask], at
+        # Followed back from the end, all words at once.
+        here, rows, found = size.copy(), np.arange(n), []
+        while len(rows):
+            token = last[here[rows], rows]
+            if (token < 0).any():
+                raise ValueError("the vocabulary misses a byte")
+            found.append((rows, token))
+            here[rows] = begin[here[rows], rows]
+            rows = rows[here[rows] > 0]
+        many = np.zeros(n, dtype=np.int64)
+        for rows, _ in found:
+            many[rows] += 1
+        ends = np.cumsum(many)
+        flat = np.zeros(int(ends[-1]), dtype=np.int32)
+        for k, (rows, token) in enumerate(found):
+            flat[ends[rows] - 1 - k] = token
+        data, ends = flat.tobytes(), (4 * ends).tolist()
+        start = 0
+        for i, end in zip(short, ends):
+            out[i] = data[start:end]
+            start = end
+        return out
 
     def has_arc(self, a: int, b: int) -> bool:
         key = (a << 20) | b

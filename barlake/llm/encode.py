@@ -1,8 +1,8 @@
 """Encoding of a whole corpus by a public byte-level tokenizer.
 
-Texts are pre-split by the vocabulary's pattern; each word is read by the
-automaton of ``automaton.py`` once per task and kept, so a task's work follows its
-text and its distinct words. Tables are compiled once on the driver and shipped;
+Texts are pre-split by the vocabulary's pattern; the new words of a batch are read
+together by the automaton of ``automaton.py`` and kept, so a task's work follows
+its text and its distinct words. Tables are compiled once on the driver and shipped;
 their size is the vocabulary's. No shuffle at any size: tasks follow the splits of
 the files, as sending a corpus over the network costs more than reading it.
 
@@ -14,7 +14,6 @@ one to one, repeats included, and other columns are left out.
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,16 +33,10 @@ KEPT_WORDS = 400_000
 _compiled: dict[str, Tables] = {}
 
 
-class _Words(dict):
-    """word -> value, read through the automaton when it is first asked."""
-
-    def __init__(self, read: Callable[[bytes], object]):
-        super().__init__()
-        self.read = read
-
-    def __missing__(self, word: str):
-        value = self[word] = self.read(word.encode("utf-8", "surrogatepass"))
-        return value
+def _read(known: dict[str, bytes], texts: list[list[str]], automaton: Automaton) -> None:
+    """Puts the words of split texts that are not known yet, with their ids as bytes, among the known ones."""
+    new = list(set().union(*texts).difference(known))
+    known.update(zip(new, automaton.encode_many([w.encode("utf-8", "surrogatepass") for w in new])))
 
 
 def tables(spark: SparkSession, vocabulary: str = VOCABULARY):
@@ -90,11 +83,11 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     shipped = tables(spark, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter()
-        encode = Automaton(shipped.value).encode
-        words = _Words(lambda w: array("i", encode(w)).tobytes())
+        split, automaton, words = splitter(), Automaton(shipped.value), {}
         for batch in batches:
-            rows = [np.frombuffer(b"".join(map(words.__getitem__, split(t))), dtype=np.int32) for t in _texts(batch.column(1))]
+            texts = [split(t) for t in _texts(batch.column(1))]
+            _read(words, texts, automaton)
+            rows = [np.frombuffer(b"".join(map(words.__getitem__, t)), dtype=np.int32) for t in texts]
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["k", "ids"])
@@ -112,14 +105,14 @@ def count_tokens(docs: DataFrame, key: list[str], text: str = "text", vocabulary
     shipped = tables(spark, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter()
-        encode = Automaton(shipped.value).encode
-        sizes = _Words(lambda w: len(encode(w)))
+        split, automaton, words = splitter(), Automaton(shipped.value), {}
         for batch in batches:
-            n = pa.array([sum(map(sizes.__getitem__, split(t))) for t in _texts(batch.column(batch.num_columns - 1))], pa.int64())
+            texts = [split(t) for t in _texts(batch.column(batch.num_columns - 1))]
+            _read(words, texts, automaton)
+            n = pa.array([sum(map(len, map(words.__getitem__, t))) // 4 for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*batch.schema.names[:-1], "tokens"])
-            if len(sizes) > 4 * KEPT_WORDS:
-                sizes.clear()
+            if len(words) > KEPT_WORDS:
+                words.clear()
 
     picked = docs.select(*key, F.col(text).alias("_text"))
     schema = ", ".join([f"`{k}` {picked.schema[k].dataType.simpleString()}" for k in key] + ["tokens long"])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,6 +58,22 @@ def test_every_token_reads_as_itself_and_arcs_match_pairs(automaton, reference):
         assert automaton.has_arc(a, b) == (reference((x + y).decode()) == [a, b]), (x, y)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.text(min_size=1, max_size=20), st.text(alphabet="abcdeXYZ019+/", min_size=1, max_size=70)), max_size=40))
+def test_many_words_at_once(automaton, words):
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    assert [list(np.frombuffer(b, np.int32)) for b in automaton.encode_many(raw)] == [list(automaton.encode(w)) for w in raw]
+
+
+def test_arcs_of_pairs_are_those_of_has_arc(automaton, monkeypatch):
+    r = np.random.default_rng(4)
+    known = np.array([i for i, t in enumerate(automaton.t.labels) if t])
+    a, b = r.choice(known, 3000), r.choice(known, 3000)
+    want = [automaton.has_arc(int(x), int(y)) for x, y in zip(a, b)]
+    for _ in range(2):  # decided, then looked up
+        assert automaton._arcs_open(a, b).tolist() == want
+
+
 def test_alphabet_is_one_to_one():
     assert len(byte_alphabet()) == 256 == len(set(byte_alphabet().values()))
 
