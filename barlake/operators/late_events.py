@@ -26,6 +26,8 @@ from barlake.operators.chunkrows import chunk_rows
 
 #: Lateness allowed after the end of the UTC day of the event, in hours; arrival at that very instant is in time.
 CUTOFF_HOURS = 120
+#: Shelves for each doubling of a value; a period has at most a few hundred thousand, a real one some thousand.
+SHELVES = 64
 
 
 def admitted(chunks: DataFrame, cutoff_hours: int = CUTOFF_HOURS) -> DataFrame:
@@ -75,31 +77,42 @@ def multiset(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("symbol", "day", "value").agg(F.sum("delta").alias("n"), F.sum("rows").alias("rows"))
 
 
-def _quantile(at: Column) -> Column:
-    """The value whose cumulative count first reaches ``at``."""
-    return F.min(F.when(F.col("upto") >= at, F.col("value")))
+def _shelf(value: Column) -> Column:
+    """A number that grows with the value and is the same for values that share sign, exponent and the first bits: SHELVES for each doubling."""
+    size = F.log2(F.abs(value))
+    steps = F.floor((size + 1100) * SHELVES).cast("long")
+    return F.when(value > 0, steps).when(value < 0, -steps).otherwise(0)
 
 
 def corrected_aggregates(chunks: DataFrame, value: str = "volume", cutoff_hours: int = CUTOFF_HOURS) -> DataFrame:
-    """One row per symbol and UTC day: n_rows, n_values, total, median, n_distinct, smallest, largest."""
-    state = multiset(count_deltas(chunks, value, cutoff_hours))
-    per = W.partitionBy("symbol", "day")
-    held = F.col("n") > 0
-    counted = state.withColumns(
-        {
-            "upto": F.sum(F.when(held, F.col("n")).otherwise(0)).over(per.orderBy(F.col("value").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)),
-            "all": F.sum(F.when(held, F.col("n")).otherwise(0)).over(per),
-        }
-    )
-    live = counted.withColumn("value", F.when(held, F.col("value")))
-    out = live.groupBy("symbol", "day").agg(
-        F.sum("rows").cast("long").alias("n_rows"),
-        F.max("all").cast("long").alias("n_values"),
-        F.sum(F.col("value") * F.col("n")).alias("total"),
-        _quantile(F.floor((F.col("all") + 1) / 2)).alias("_low"),
-        _quantile(F.floor(F.col("all") / 2) + 1).alias("_high"),
-        F.count("value").cast("long").alias("n_distinct"),
-        F.min("value").alias("smallest"),
-        F.max("value").alias("largest"),
+    """One row per symbol and UTC day: n_rows, n_values, total, median, n_distinct, smallest, largest.
+
+    Counts are cumulated on two levels: over the shelves of a period, whose number
+    is bounded, and within the one or two shelves in which the median lies. So no
+    task holds all values of a period, however many a busy day has.
+    """
+    state = multiset(count_deltas(chunks, value, cutoff_hours)).withColumn("shelf", _shelf(F.col("value")))
+    held = F.when((F.col("n") > 0) & F.col("value").isNotNull(), F.col("n")).otherwise(0)
+    state = state.withColumn("held", held)
+    live = F.when(F.col("held") > 0, F.col("value"))
+    shelves = state.groupBy("symbol", "day", "shelf").agg(
+        F.sum("rows").alias("rows"), F.sum("held").alias("held"), F.sum(live * F.col("held")).alias("total"), F.count(live).alias("distinct"), F.min(live).alias("low"), F.max(live).alias("high")
     )
-    return out.select("symbol", "day", "n_rows", "n_values", F.coalesce("total", F.lit(0.0)).alias("total"), ((F.col("_low") + F.col("_high")) / 2).alias("median"), "n_distinct", "smallest", "largest")
+    per = W.partitionBy("symbol", "day")
+    all_ = F.sum("held").over(per)
+    upto = F.sum("held").over(per.orderBy(F.col("shelf").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    ranked = shelves.withColumns({"all": all_, "upto": upto})
+    # The ranks of the two middle values, as far as they lie on a shelf, counted from its beginning.
+    before = F.col("upto") - F.col("held")
+    on = lambda rank: F.when((rank > before) & (rank <= F.col("upto")), rank - before)
+    ranked = ranked.withColumns({"_a": on(F.floor((F.col("all") + 1) / 2)), "_b": on(F.floor(F.col("all") / 2) + 1)})
+    middle = ranked.where("held > 0 AND (_a IS NOT NULL OR _b IS NOT NULL)").select("symbol", "day", "shelf", "_a", "_b")
+    within = W.partitionBy("symbol", "day", "shelf").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    near = state.where("held > 0").select("symbol", "day", "shelf", "value", F.sum("held").over(within).alias("_upto")).join(middle, ["symbol", "day", "shelf"])
+    first = lambda rank: F.min(F.when(F.col("_upto") >= F.col(rank), F.col("value")))
+    medians = near.groupBy("symbol", "day", "shelf").agg(first("_a").alias("_low"), first("_b").alias("_high")).groupBy("symbol", "day").agg(((F.max("_low") + F.max("_high")) / 2).alias("median"))
+    out = ranked.groupBy("symbol", "day").agg(
+        F.sum("rows").cast("long").alias("n_rows"), F.sum("held").cast("long").alias("n_values"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"),
+        F.sum("distinct").cast("long").alias("n_distinct"), F.min("low").alias("smallest"), F.max("high").alias("largest"),
+    )
+    return out.join(medians, ["symbol", "day"], "left").select("symbol", "day", "n_rows", "n_values", "total", "median", "n_distinct", "smallest", "largest")

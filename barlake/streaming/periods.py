@@ -4,7 +4,12 @@ State per period (symbol, UTC day of the event): the multiset of values (value -
 count) and, per record, the version that counts. A row moves its record from the
 old value's count to the new one's; rows after the cut-off are set apart with
 status ``late``. Whenever a period changes, its aggregates are emitted anew from
-the cumulative counts.
+the cumulative counts, in time that follows the changes and the distinct values,
+not the records.
+
+A period is final when the cut-off has passed. Its state is let go when nothing has
+changed it for the time a row can take to come in time: the day, the cut-off and
+``lag_hours``, by which the stream may run behind the arrival of its rows.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from barlake.operators.late_events import CUTOFF_HOURS, admitted
 from barlake.streaming.chunker import rocksdb
 
+#: How far a stream may run behind, in hours.
+LAG_HOURS = 168
 RESULT = "symbol string, day date, status string, n_rows long, n_values long, total double, median double, n_distinct long, smallest double, largest double"
 
 
@@ -32,14 +39,19 @@ register_pickle_by_value(sys.modules[__name__])
 class PeriodProcessor(StatefulProcessor):
     """One period's multiset; versions of a record are ordered by arrival, base before correction, chunk and position."""
 
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.records = handle.getMapState("records", "ts long", "txn long, corr boolean, chunk_id long, row_pos int, value double")
-        self.counts = handle.getMapState("counts", "value double", "n long")
+        ttl = {"ttlDurationMs": self.keep_ms} if self.keep_ms else {}
+        self.records = handle.getMapState("records", "ts long", "txn long, corr boolean, chunk_id long, row_pos int, value double", **ttl)
+        self.counts = handle.getMapState("counts", "value double", "n long", **ttl)
+        self.size = handle.getValueState("size", "n_rows long", **ttl)
 
-    def _add(self, value: float | None, by: int) -> None:
-        if value is None or value != value:
+    def _add(self, value: float, by: int) -> None:
+        if not by:
             return
-        key = (float(value),)
+        key = (value,)
         n = (self.counts.getValue(key)[0] if self.counts.containsKey(key) else 0) + by
         if n:
             self.counts.updateValue(key, (n,))
@@ -47,20 +59,30 @@ class PeriodProcessor(StatefulProcessor):
             self.counts.removeKey(key)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["txn", "corr", "chunk_id", "row_pos"])
+        frame = pd.concat(list(rows))
         late = int(frame["late"].sum())
-        for r in frame[~frame["late"]].itertuples():
-            record = (int(r.ts),)
-            new = (int(r.txn), bool(r.corr), int(r.chunk_id), int(r.row_pos), None if r.value is None or r.value != r.value else float(r.value))
+        # Of a batch only each record's last version can count.
+        last = frame[~frame["late"]].sort_values(["txn", "corr", "chunk_id", "row_pos"]).drop_duplicates("ts", keep="last")
+        n_rows = self.size.get()[0] if self.size.exists() else 0
+        changes: dict[float, int] = {}
+        for ts, txn, corr, chunk_id, row_pos, value in zip(*[last[c] for c in ("ts", "txn", "corr", "chunk_id", "row_pos", "value")]):
+            record, new = (int(ts),), (int(txn), bool(corr), int(chunk_id), int(row_pos), None if value is None or value != value else float(value))
             if self.records.containsKey(record):
                 old = tuple(self.records.getValue(record))
                 if old[:4] >= new[:4]:
                     continue
-                self._add(old[4], -1)
+                if old[4] is not None and old[4] == old[4]:
+                    changes[old[4]] = changes.get(old[4], 0) - 1
+            else:
+                n_rows += 1
             self.records.updateValue(record, new)
-            self._add(new[4], 1)
+            if new[4] is not None:
+                changes[new[4]] = changes.get(new[4], 0) + 1
+        for value, by in changes.items():
+            self._add(value, by)
+        if n_rows:
+            self.size.update((n_rows,))
         held = sorted((k[0], v[0]) for k, v in self.counts.iterator())
-        n_rows = sum(1 for _ in self.records.keys())
         values, n = np.array([v for v, _ in held]), np.array([c for _, c in held], dtype=np.int64)
         upto, size = np.cumsum(n), int(n.sum())
         at = lambda k: float(values[np.searchsorted(upto, k)])
@@ -74,10 +96,10 @@ class PeriodProcessor(StatefulProcessor):
         pass
 
 
-def period_stream(chunks: DataFrame, value: str = "volume", cutoff_hours: int = CUTOFF_HOURS) -> DataFrame:
+def period_stream(chunks: DataFrame, value: str = "volume", cutoff_hours: int = CUTOFF_HOURS, lag_hours: int = LAG_HOURS) -> DataFrame:
     """A stream of chunks as a stream of corrected periods (update mode): the last row of a period is its state."""
     rocksdb(chunks.sparkSession)
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     rows = admitted(chunks, cutoff_hours).where("symbol IS NOT NULL AND timestamp IS NOT NULL AND txn IS NOT NULL")
     rows = rows.select("symbol", "day", us("timestamp").alias("ts"), us("txn").alias("txn"), "corr", "chunk_id", "row_pos", F.col(value).alias("value"), "late")
-    return rows.groupBy("symbol", "day").transformWithStateInPandas(PeriodProcessor(), outputStructType=RESULT, outputMode="Update", timeMode="None")
+    return rows.groupBy("symbol", "day").transformWithStateInPandas(PeriodProcessor((24 + cutoff_hours + lag_hours) * 3_600_000), outputStructType=RESULT, outputMode="Update", timeMode="ProcessingTime")
