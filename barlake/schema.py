@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import types as T
 
@@ -12,7 +11,6 @@ TYPES = {"timestamp": "datetime", "symbol": "string"} | dict.fromkeys(VALUES, "f
 ALIASES = {"date": "timestamp", "price": "close"}
 #: Which zone-map entry a column's predicates can be tested on.
 ZONES = {"symbol": "symbol", "timestamp": "time", "close": "price"}
-DATE_ONLY = re.compile(r"\d{4}-\d{2}-\d{2}")
 
 BAR = T.StructType([T.StructField("timestamp", T.TimestampType()), T.StructField("symbol", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in VALUES])
 
@@ -26,28 +24,37 @@ def canonical(name: str) -> str:
     return key
 
 
-def is_date_only(text: str) -> bool:
-    return DATE_ONLY.fullmatch(text.strip()) is not None
+def moment(text: str) -> datetime:
+    """An ISO 8601 date and time, or date alone, of a literal."""
+    iso = text.strip()
+    try:
+        return datetime.fromisoformat(iso[:-1] + "+00:00" if iso[-1:] in ("z", "Z") else iso)
+    except ValueError:
+        raise ValueError(f"invalid datetime literal: {text!r}") from None
 
 
-def parse_datetime(text: str) -> datetime:
+def number(text: str) -> float:
     try:
-        return datetime.fromisoformat(re.sub(r"[zZ]$", "+00:00", text.strip()))
+        return float(text)
     except ValueError:
-        raise ValueError(f"invalid datetime literal: {text!r}") from None
+        raise ValueError(f"invalid floating-point literal: {text!r}") from None
+
 
+#: How the text of a literal becomes a value, by the type of the column it stands beside.
+READERS = {"datetime": moment, "float": number, "string": str}
 
-def parse_literal(text: str, column: str) -> datetime | float | str:
-    """A literal's text as a value of the column's type."""
-    kind = TYPES[canonical(column)]
-    if kind == "datetime":
-        return parse_datetime(text)
-    if kind == "float":
-        try:
-            return float(text)
-        except ValueError:
-            raise ValueError(f"invalid floating-point literal: {text!r}") from None
-    return text
+
+def value_for(column: str, text: str) -> datetime | float | str:
+    return READERS[TYPES[column]](text)
+
+
+def whole_date(text: str) -> date | None:
+    """The day, if the text is that day's date and no time."""
+    try:
+        day = moment(text).date()
+    except ValueError:
+        return None
+    return day if day.isoformat() == text.strip() else None
 
 
 def align(value: datetime, column_type: T.DataType) -> datetime:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,7 +21,9 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="barlake-"), "barlake.zip")
+    folder = tempfile.mkdtemp(prefix="barlake-")  # on the driver, which serves the archive until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "barlake.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, Path(root.name) / f.relative_to(root))
