@@ -42,15 +42,46 @@ def byte_alphabet() -> dict[str, int]:
 
 @dataclass
 class Tables:
-    """What the gadgets leave: ids of byte strings, a trie over them (byte -> node, token or -1), and per token the chains at both edges."""
+    """What the gadgets leave: ids of byte strings, a trie over them, and per token the chains at both edges.
+
+    ``edges``: node, byte, node (0 is the root); ``node_token``: the token that ends at
+    a node, or -1. What is derived is made once in each process and not shipped.
+    """
 
     ids: dict[bytes, int]
     labels: list[bytes]
-    trie: list[dict[int, tuple[int, int]]]
+    edges: np.ndarray
+    node_token: np.ndarray
     removed: dict[int, int]
     heads: list[tuple[tuple[int, int], ...]]
     tails: list[tuple[tuple[int, int], ...]]
 
+    @cached_property
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each node and the table row x byte -> node (0: none); nodes without steps share the empty row 0."""
+        inner = np.unique(self.edges[:, 0])
+        row = np.zeros(len(self.node_token), dtype=np.int32)
+        row[inner] = np.arange(1, len(inner) + 1)
+        to = np.zeros((len(inner) + 1, 256), dtype=np.int32)
+        to[row[self.edges[:, 0]], self.edges[:, 1]] = self.edges[:, 2]
+        return row, to
+
+    @cached_property
+    def chains(self) -> tuple[np.ndarray, ...]:
+        """Removed pairs in order with their ranks, and the chains at the ends and heads of tokens, one after the other."""
+        keys = np.array(sorted(self.removed), dtype=np.int64)
+        out = [keys, np.array([self.removed[k] for k in keys.tolist()], dtype=np.int64)]
+        for chains in (self.tails, self.heads):
+            size = np.array([len(c) for c in chains])
+            flat = np.fromiter((v for c in chains for x in c for v in x), dtype=np.int64, count=2 * int(size.sum())).reshape(-1, 2)
+            out += [np.concatenate([[0], np.cumsum(size)]), flat[:, 0].copy(), flat[:, 1].copy()]
+        return tuple(out)
+
+    @cached_property
+    def kept(self) -> tuple[np.ndarray, np.ndarray]:
+        """The part of the transition table asked for so far: the pair held at each place, and whether its arc is open."""
+        return np.full(1 << KEPT_BITS, -1, dtype=np.int64), np.zeros(1 << KEPT_BITS, dtype=bool)
+
 
 def compile_merges(vocabulary_path: str) -> Tables:
     """Apply every merge's gadget in order."""
@@ -79,16 +110,19 @@ def compile_merges(vocabulary_path: str) -> Tables:
         # w's state inherits what leaves v's state, and w's arc what leads along u's: until this rank, from then on as w.
         heads[w] = tuple((x, min(end, rank)) for x, end in heads[u]) + ((w, NEVER),)
         tails[w] = tuple((x, min(end, rank)) for x, end in tails[v]) + ((w, NEVER),)
-    trie: list[dict[int, tuple[int, int]]] = [{}]
+    trie: list[dict[int, int]] = [{}]
+    ends: list[int] = [-1]
     for t, i in ids.items():
         node = 0
-        for at, b in enumerate(t, 1):
-            nxt, token = trie[node].get(b, (len(trie), -1))
+        for b in t:
+            nxt = trie[node].setdefault(b, len(trie))
             if nxt == len(trie):
                 trie.append({})
-            trie[node][b] = (nxt, i if at == len(t) else token)
+                ends.append(-1)
             node = nxt
-    return Tables(ids, labels, trie, removed, heads, tails)
+        ends[node] = i
+    edges = np.array([(node, b, nxt) for node, steps in enumerate(trie) for b, nxt in steps.items()], dtype=np.int32)
+    return Tables(ids, labels, edges, np.array(ends, dtype=np.int32), removed, heads, tails)
 
 
 class Automaton:
@@ -102,32 +136,10 @@ class Automaton:
     def __init__(self, tables: Tables):
         self.t = tables
         self.arcs: dict[int, bool] = {}
-        self._kept = np.full(1 << KEPT_BITS, -1, dtype=np.int64)
-        self._open = np.zeros(1 << KEPT_BITS, dtype=bool)
-
-    @cached_property
-    def _steps(self) -> tuple[np.ndarray, np.ndarray]:
-        """The trie as a table node x byte -> node (0: none), and each node's token or -1."""
-        to, token = np.zeros((len(self.t.trie), 256), dtype=np.int32), np.full(len(self.t.trie), -1, dtype=np.int32)
-        for node, steps in enumerate(self.t.trie):
-            for byte, (nxt, t) in steps.items():
-                to[node, byte], token[nxt] = nxt, t
-        return to, token
-
-    @cached_property
-    def _chains(self) -> tuple[np.ndarray, ...]:
-        """Removed pairs in order with their ranks, and the chains at the ends and heads of tokens, one after the other."""
-        keys = np.array(sorted(self.t.removed), dtype=np.int64)
-        out = [keys, np.array([self.t.removed[k] for k in keys.tolist()], dtype=np.int64)]
-        for chains in (self.t.tails, self.t.heads):
-            size = np.array([len(c) for c in chains])
-            flat = np.array([x for c in chains for x in c], dtype=np.int64).reshape(-1, 2)
-            out += [np.concatenate([[0], np.cumsum(size)]), flat[:, 0], flat[:, 1]]
-        return tuple(out)
 
     def _decide(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``has_arc`` of pairs."""
-        keys, ranks, tail_at, tail, tail_end, head_at, head, head_end = self._chains
+        keys, ranks, tail_at, tail, tail_end, head_at, head, head_end = self.t.chains
         tails, heads = tail_at[a + 1] - tail_at[a], head_at[b + 1] - head_at[b]
         n = tails * heads
         of = np.repeat(np.arange(len(a)), n)
@@ -144,13 +156,14 @@ class Automaton:
         """The transition table at pairs; what it does not hold is decided and takes its place."""
         key = (a.astype(np.int64) << 20) | b
         at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - KEPT_BITS)).astype(np.int64)
-        miss = np.flatnonzero(self._kept[at] != key)
-        found = self._open[at]
+        kept, open_ = self.t.kept
+        miss = np.flatnonzero(kept[at] != key)
+        found = open_[at]
         if len(miss):
             new, back = np.unique(key[miss], return_inverse=True)
             decided = self._decide(new >> 20, new & 0xFFFFF)
             found[miss] = decided[back]
-            self._kept[at[miss]], self._open[at[miss]] = key[miss], decided[back]
+            kept[at[miss]], open_[at[miss]] = key[miss], decided[back]
         return found
 
     def encode_many(self, words: Iterable[bytes]) -> list[bytes]:
@@ -168,7 +181,7 @@ class Automaton:
                 short.append(i)
         if not short:
             return out
-        to, token_at = self._steps
+        (row_of, to), token_at = self.t.steps, self.t.node_token
         size = np.array([len(words[i]) for i in short])
         order = np.argsort(-size, kind="stable")
         size, short = size[order], [short[i] for i in order]
@@ -184,7 +197,7 @@ class Automaton:
                 if i > at:
                     within = rows < reach[i]
                     rows, node, state = rows[within], node[within], state[within]
-                node = to[node, text[i, rows]]
+                node = to[row_of[node], text[i, rows]]
                 live = node > 0
                 if not live.all():
                     rows, node, state = rows[live], node[live], state[live]
@@ -249,7 +262,8 @@ class Automaton:
         whole = self.t.ids.get(word)
         if whole is not None:
             return (whole,)
-        trie, arcs, has_arc = self.t.trie, self.arcs, self.has_arc
+        (row_of, to), token_at = self.t.steps, self.t.node_token
+        arcs, has_arc = self.arcs, self.has_arc
         n = len(word)
         last, begin = [-1] * (n + 1), [0] * (n + 1)
         for at in range(n):
@@ -258,10 +272,10 @@ class Automaton:
                 continue
             node = 0
             for i in range(at, n):
-                step = trie[node].get(word[i])
-                if step is None:
+                node = int(to[row_of[node], word[i]])
+                if not node:
                     break
-                node, token = step
+                token = int(token_at[node])
                 if token >= 0 and last[i + 1] < 0:
                     if at:
                         open_ = arcs.get((state << 20) | token)

@@ -29,7 +29,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The same for text of ASCII characters only, which the standard library splits faster.
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 #: Words a task keeps with their ids before it starts afresh.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 _compiled: dict[str, Tables] = {}
 
 
@@ -44,7 +44,7 @@ def tables(spark: SparkSession, vocabulary: str = VOCABULARY):
     if vocabulary not in _compiled:
         _compiled[vocabulary] = compile_merges(vocabulary)
     # Long texts: a batch holds few rows, so a worker's memory follows the rows of a batch and not the file's.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark.sparkContext.broadcast(_compiled[vocabulary])
 
 
