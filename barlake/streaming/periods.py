@@ -7,9 +7,12 @@ status ``late``. Whenever a period changes, its aggregates are emitted anew from
 the cumulative counts, in time that follows the changes and the distinct values,
 not the records.
 
-A period is final when the cut-off has passed. Its state is let go when nothing has
-changed it for the time a row can take to come in time: the day, the cut-off and
-``lag_hours``, by which the stream may run behind the arrival of its rows.
+A period is final when the cut-off has passed. With ``lag_hours``, by which a stream
+may run behind the arrival of its rows, the state of a period is let go when nothing
+has changed it for the time a row can take to come in time: the day, the cut-off and
+the lag. That needs a clock, so it is for streams that run on; a trigger that ends
+when all input is read (``availableNow``) would wait for the clock for ever, and
+state is kept unless a lag is given.
 """
 
 from __future__ import annotations
@@ -27,8 +30,6 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from barlake.operators.late_events import CUTOFF_HOURS, admitted
 from barlake.streaming.chunker import rocksdb
 
-#: How far a stream may run behind, in hours.
-LAG_HOURS = 168
 RESULT = "symbol string, day date, status string, n_rows long, n_values long, total double, median double, n_distinct long, smallest double, largest double"
 
 
@@ -96,10 +97,11 @@ class PeriodProcessor(StatefulProcessor):
         pass
 
 
-def period_stream(chunks: DataFrame, value: str = "volume", cutoff_hours: int = CUTOFF_HOURS, lag_hours: int = LAG_HOURS) -> DataFrame:
+def period_stream(chunks: DataFrame, value: str = "volume", cutoff_hours: int = CUTOFF_HOURS, lag_hours: int | None = None) -> DataFrame:
     """A stream of chunks as a stream of corrected periods (update mode): the last row of a period is its state."""
     rocksdb(chunks.sparkSession)
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     rows = admitted(chunks, cutoff_hours).where("symbol IS NOT NULL AND timestamp IS NOT NULL AND txn IS NOT NULL")
     rows = rows.select("symbol", "day", us("timestamp").alias("ts"), us("txn").alias("txn"), "corr", "chunk_id", "row_pos", F.col(value).alias("value"), "late")
-    return rows.groupBy("symbol", "day").transformWithStateInPandas(PeriodProcessor((24 + cutoff_hours + lag_hours) * 3_600_000), outputStructType=RESULT, outputMode="Update", timeMode="ProcessingTime")
+    keep = None if lag_hours is None else (24 + cutoff_hours + lag_hours) * 3_600_000
+    return rows.groupBy("symbol", "day").transformWithStateInPandas(PeriodProcessor(keep), outputStructType=RESULT, outputMode="Update", timeMode="None" if keep is None else "ProcessingTime")
