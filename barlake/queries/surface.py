@@ -23,6 +23,7 @@ from barlake.queries.bitemporal import AT, CLICK, CTES, FROM, HOUR, LATE, MID, N
 from barlake.session import checkpoint_dir, table
 from barlake.sources import validate
 from barlake.sources.bars_csv import load_bars, load_single
+from barlake.sources.driver import written_rows
 from barlake.sources.replay import Replay
 from barlake.sources.synthetic import late_corrections, random_walk_bars
 
@@ -144,8 +145,8 @@ def chunk_arrays(spark, d):
 @_register(f"{CTES} SELECT symbol, timestamp, CASE WHEN {NUMBER} THEN close END AS close, volume FROM bars")
 def replay_rows(spark, d):
     """Every bar through the forward-only replay."""
-    rows = [(x["symbol"], x["timestamp"], *x["values"]) for x in Replay(bars(spark, d), ["close", "volume"])]
-    return shown(spark.createDataFrame(rows, "symbol string, timestamp timestamp_ntz, close double, volume double"))
+    rows = ((x["symbol"], x["timestamp"], *x["values"]) for x in Replay(bars(spark, d), ["close", "volume"]))
+    return shown(written_rows(spark, folder(spark, "replayed"), rows, "symbol string, timestamp timestamp_ntz, close double, volume double"))
 
 
 _OPEN = f"{ZONES} SELECT {SHOWN} FROM chunked c WHERE st < (SELECT max(time_start) FROM zones z WHERE z.symbol = c.symbol)"

@@ -10,7 +10,9 @@ from barlake.functions.stats import overlap
 from barlake.operators.store import BarStore
 from barlake.plans.engine import Engine, FullScanEngine
 from barlake.plans.predicate import Comparison
+from barlake.queries import surface
 from barlake.sources import validate
+from barlake.sources.driver import local_rows, write_batch, written_rows
 from barlake.sources.replay import Replay
 from barlake.sources.bars_csv import load_bars, load_single, load_summary
 from barlake.sources.synthetic import late_corrections, random_walk_bars
@@ -96,6 +98,30 @@ def test_replay_is_forward_only(spark):
         list(Replay(df.withColumn("symbol", F.lit(None).cast("string")), ["close"]))
 
 
+def test_rows_pass_the_driver_in_batches(spark, small, tmp_path):
+    t, nan = datetime(2024, 1, 1, 0, 0, 0, 7), float("nan")
+    df = spark.range(0, 25_000, 1, 3).selectExpr("CASE WHEN id % 5 > 0 THEN concat('s', id) END AS s", "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, id / 1e6) AS t", "CASE WHEN id % 7 > 0 THEN double(id) END AS v", "id")
+    rows = list(local_rows(df.orderBy(F.desc("id"))))
+    assert len(rows) == 25_000 and rows[-8:-5] == [("s7", t, None, 7), ("s6", t - timedelta(microseconds=1), 6.0, 6), (None, t - timedelta(microseconds=2), 5.0, 5)]
+    zoned = df.select(F.col("t").cast("timestamp").alias("t")).limit(9)
+    assert [tuple(r) for r in zoned.collect()] == list(local_rows(zoned))
+    schema, given, seen = "s string, t timestamp_ntz, v double, n long", [(None, t, nan, 1), ("a", None, None, 2), ("b", t, 1.5, None)], []
+
+    def feed():
+        for k in range(10):
+            seen.append(len(list((tmp_path / "w").glob("part-*"))))
+            yield given[k % 3]
+
+    out = written_rows(spark, str(tmp_path / "w"), feed(), schema, batch_rows=4)
+    assert seen == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2] and out.count() == 10
+    assert sorted(map(str, map(tuple, out.distinct().collect()))) == sorted(map(str, given))
+    assert written_rows(spark, str(tmp_path / "none"), [], schema).count() == 0
+    with pytest.raises(Exception):
+        write_batch(spark, str(tmp_path / "w"), [("a", t, "x", 1)], out.schema)
+    # What the replay delivered lies in files and is nowhere held as a list.
+    assert surface.QUERIES["replay_rows"](spark, small).inputFiles()
+
+
 def test_chunks_as_arrays_and_their_removal(spark):
     s = BarStore(random_walk_bars(spark, 2, 60))
     ids = [r.chunk_id for r in s.zones().orderBy("symbol", "time_start").collect()]
