@@ -23,7 +23,7 @@ from barlake.queries.bitemporal import AT, CLICK, CTES, FROM, HOUR, LATE, MID, N
 from barlake.session import checkpoint_dir, table
 from barlake.sources import validate
 from barlake.sources.bars_csv import load_bars, load_single
-from barlake.sources.driver import written_rows
+from barlake.sources.driver import local_rows, written_rows
 from barlake.sources.replay import Replay
 from barlake.sources.synthetic import late_corrections, random_walk_bars
 
@@ -158,28 +158,27 @@ def finalised_only(spark, d):
     return shown(store(spark, d, False).finalised().state())
 
 
+def _in_time():
+    """As ``ingest_seq``, has rows delivered in order of time."""
+    return F.struct("timestamp", "ingest_seq")
+
+
 @_register(_OPEN)
 def live_finalised(spark, d):
     """The same by row-by-row ingestion, before a flush."""
     live = LiveStore(spark, folder(spark, "live"), HOUR, ["close", "volume"])
-    for x in Replay(bars(spark, d).withColumn("ingest_seq", F.row_number().over(_in_time())), ["close", "volume"]):
+    for x in Replay(bars(spark, d).withColumn("ingest_seq", _in_time()), ["close", "volume"]):
         live.ingest_row(x["timestamp"], x["symbol"], x["values"])
     return shown(live.store().state())
 
 
-def _in_time():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy("timestamp", "ingest_seq")
-
-
 @_register(_state_sql(MID, "TRUE"))
 def live_corrected(spark, d):
     """Rows and corrections one by one, flushed, as known at a time."""
     live = LiveStore(spark, folder(spark, "live"), HOUR, ["close", "volume"], batch_rows=2000)
-    live.ingest_dataframe(bars(spark, d).select("symbol", "timestamp", "close", "volume", F.row_number().over(_in_time()).alias("ingest_seq")))
-    for r in corrections(spark, d).orderBy("ingest_seq").select("symbol", "timestamp", "close", "volume", "txn_time").toLocalIterator():
-        live.ingest_correction(r.timestamp, r.symbol, [r.close, r.volume], r.txn_time)
+    live.ingest_dataframe(bars(spark, d).select("symbol", "timestamp", "close", "volume", _in_time().alias("ingest_seq")))
+    for symbol, timestamp, close, volume, txn_time in local_rows(corrections(spark, d).orderBy("ingest_seq").select("symbol", "timestamp", "close", "volume", "txn_time")):
+        live.ingest_correction(timestamp, symbol, [close, volume], txn_time)
     return shown(live.store().state(datetime.fromisoformat(MID)))
 
 

@@ -12,7 +12,7 @@ from barlake.plans.engine import Engine, FullScanEngine
 from barlake.plans.predicate import Comparison
 from barlake.queries import surface
 from barlake.sources import validate
-from barlake.sources.driver import local_rows, write_batch, written_rows
+from barlake.sources.driver import BatchFolder, local_rows, written_rows
 from barlake.sources.replay import Replay
 from barlake.sources.bars_csv import load_bars, load_single, load_summary
 from barlake.sources.synthetic import late_corrections, random_walk_bars
@@ -117,7 +117,7 @@ def test_rows_pass_the_driver_in_batches(spark, small, tmp_path):
     assert sorted(map(str, map(tuple, out.distinct().collect()))) == sorted(map(str, given))
     assert written_rows(spark, str(tmp_path / "none"), [], schema).count() == 0
     with pytest.raises(Exception):
-        write_batch(spark, str(tmp_path / "w"), [("a", t, "x", 1)], out.schema)
+        BatchFolder(spark, str(tmp_path / "w"), out.schema).add([("a", t, "x", 1)])
     # What the replay delivered lies in files and is nowhere held as a list.
     assert surface.QUERIES["replay_rows"](spark, small).inputFiles()
 

@@ -116,3 +116,19 @@ def test_tuning_reads_the_zone_map(spark, stored):
     r = tuning.price_attribution(zones, conjunction([Comparison("symbol", "=", "A"), Comparison("close", ">", 55.0)])).first()
     assert (r.total_chunks, r.with_price, r.without_price) == (30, 5, 10)
     assert tuning.median_threshold(s.base).first().threshold == np.median([10.0 * i + k for i in range(3) for k in range(100)])
+
+
+def test_live_batches_are_files_written_without_a_job(spark, tmp_path):
+    live = LiveStore(spark, str(tmp_path / "live"), timedelta(hours=1), ["close"], batch_rows=3)
+    t = datetime(2024, 1, 1, 0, 0, 0, 5)
+    group = f"live-{tmp_path.name}"
+    spark.sparkContext.setJobGroup(group, "live")
+    for k in range(12):
+        live.ingest_row(t + timedelta(minutes=20 * k), "A", [float(k)])
+        live.ingest_correction(t + timedelta(minutes=20 * k), "A", [k + 0.5], t + timedelta(days=1 + k % 2))
+    live.flush_all()
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [len(list((tmp_path / "live" / x).glob("*.parquet"))) for x in ("base", "corrections")] == [4, 4]
+    s = live.store()
+    assert sorted((r.timestamp, r.close) for r in s.state(t + timedelta(days=1)).collect()) == [(t + timedelta(minutes=20 * k), k + 0.5 * (k % 2 == 0)) for k in range(12)]
