@@ -60,22 +60,26 @@ def _typed(df: DataFrame) -> DataFrame:
     return parsed.drop("_given", "_wrong")
 
 
-def load_bars(spark: SparkSession, path: str) -> DataFrame:
-    """A merged file of many symbols: timestamp, symbol, values, ``ingest_seq``; other columns are kept."""
+def load_bars(spark: SparkSession, path: str, keep_repeated: bool = False) -> DataFrame:
+    """A merged file of many symbols: timestamp, symbol, values, ``ingest_seq``; other columns are kept.
+
+    A key that comes twice is an error, or with ``keep_repeated`` a warning: all its rows are
+    kept, and a store takes the last delivered for the version that counts.
+    """
     df = read_csv(spark, path)
     validate.require_columns(df.columns, ["timestamp", "symbol", *VALUES])
     df = _typed(df)
-    validate.require_unique(df)
+    validate.require_unique(df, keep=keep_repeated)
     validate.require_order(df)
     return validate.validate_schema(df)
 
 
-def load_single(spark: SparkSession, path: str) -> DataFrame:
-    """A file of one symbol, without a symbol column, in order of time."""
+def load_single(spark: SparkSession, path: str, keep_repeated: bool = False) -> DataFrame:
+    """A file of one symbol, without a symbol column, in order of time; repeated times as in ``load_bars``."""
     df = read_csv(spark, path)
     validate.require_columns(df.columns, ["timestamp", *VALUES])
     df = _typed(df)
-    validate.require_unique(df, ("timestamp",))
+    validate.require_unique(df, ("timestamp",), keep_repeated)
     validate.require_order(df.withColumn("symbol", F.lit("")))
     return df
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,11 +37,15 @@ def duplicate_keys(df: DataFrame, keys: tuple[str, ...] = ("symbol", "timestamp"
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def require_unique(df: DataFrame, keys: tuple[str, ...] = ("symbol", "timestamp")) -> None:
+def require_unique(df: DataFrame, keys: tuple[str, ...] = ("symbol", "timestamp"), keep: bool = False) -> None:
+    """No key may come twice; with ``keep`` that is a warning."""
     bad = duplicate_keys(df, keys)
     example = bad.first()
     if example is not None:
-        raise ValueError(f"duplicate ({', '.join(keys)}) rows: {bad.count()} keys, for example {tuple(example)[:-1]}")
+        said = f"duplicate ({', '.join(keys)}) rows: {bad.count()} keys, for example {tuple(example)[:-1]}"
+        if not keep:
+            raise ValueError(said)
+        warnings.warn(said, RuntimeWarning, stacklevel=3)
 
 
 def out_of_order(df: DataFrame, span: int = DELIVERED) -> DataFrame:
