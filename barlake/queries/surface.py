@@ -210,7 +210,7 @@ def single_symbol_load(spark, d):
     path = _csv(spark, bars(spark, d).where(CLICK).drop("symbol"))
     with warnings.catch_warnings():
         warnings.simplefilter("ignore", RuntimeWarning)
-        rows = load_single(spark, path)
+        rows = load_single(spark, path, keep_repeated=True)
     return rows.select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), F.when(~F.isnan("close"), F.col("close")).alias("close"), "volume")
 
 
