@@ -1,4 +1,4 @@
-"""python -m barlake.cli --data-csv FILE [--chunk-strategy monthly|hourly|daily] [--query SQL ...] [--json FILE] [--benchmark]"""
+"""python -m barlake.cli --data-csv FILE [--chunk-strategy monthly|hourly|daily] [--query SQL ...] [--keep-repeated] [--json FILE] [--benchmark]"""
 
 from __future__ import annotations
 
@@ -15,11 +15,12 @@ def main(argv: list[str] | None = None) -> dict:
     p.add_argument("--data-csv", required=True)
     p.add_argument("--chunk-strategy", choices=sorted(pipeline.STRATEGIES), default="monthly")
     p.add_argument("--query", action="append", default=[])
+    p.add_argument("--keep-repeated", action="store_true", help="load all rows of a key that comes more than once, with a warning")
     p.add_argument("--json", help="write the figures here")
     p.add_argument("--benchmark", action="store_true", help="also time the unpruned engine, after holding results equal")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("barlake").getOrCreate()
-    done = pipeline.run_pipeline(spark, a.data_csv, a.chunk_strategy, tuple(a.query))
+    done = pipeline.run_pipeline(spark, a.data_csv, a.chunk_strategy, tuple(a.query), a.keep_repeated)
     pipeline.print_store(done["store"])
     figures: dict = {"summary": done["summary"], "queries": {}}
     for sql, result in done["query_results"].items():

@@ -15,10 +15,10 @@ from barlake.sources.bars_csv import load_bars, load_summary
 STRATEGIES = {"monthly": "monthly", "hourly": timedelta(hours=1), "daily": timedelta(days=1)}
 
 
-def run_pipeline(spark: SparkSession, path: str, boundary="monthly", queries: tuple[str, ...] = ()) -> dict:
+def run_pipeline(spark: SparkSession, path: str, boundary="monthly", queries: tuple[str, ...] = (), keep_repeated: bool = False) -> dict:
     """{summary, store, query_results}."""
-    bars = load_bars(spark, path)
-    store = BarStore(bars, None, STRATEGIES.get(boundary, boundary) if isinstance(boundary, str) else boundary, base_unique=True)
+    bars = load_bars(spark, path, keep_repeated)
+    store = BarStore(bars, None, STRATEGIES.get(boundary, boundary) if isinstance(boundary, str) else boundary, base_unique=None if keep_repeated else True)
     engine = Engine(store)
     return {"summary": load_summary(bars).first().asDict(), "store": store, "query_results": {q: engine.execute(q) for q in queries}}
 

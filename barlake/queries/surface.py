@@ -223,7 +223,7 @@ def command_line(spark, d):
     asked = {"click over 50": f"{FROM} WHERE {CLICK} AND close > 50", "one day": f"{FROM} WHERE date = '2024-01-10'"}
     with warnings.catch_warnings(), contextlib.redirect_stdout(io.StringIO()) as out:
         warnings.simplefilter("ignore", RuntimeWarning)
-        figures = cli.main(["--data-csv", _csv(spark, bars(spark, d)), *[x for q in asked.values() for x in ("--query", q)]])
+        figures = cli.main(["--data-csv", _csv(spark, bars(spark, d)), "--keep-repeated", *[x for q in asked.values() for x in ("--query", q)]])
     lines = len(out.getvalue().splitlines())
     rows = [(k, figures["queries"][q]["rows"]) for k, q in asked.items()] + [("lines shown", lines)]
     return spark.createDataFrame(rows, "query string, n_rows long")
