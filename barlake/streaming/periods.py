@@ -1,16 +1,18 @@
 """Per-period aggregates of a stream of stored rows, corrected as late rows arrive.
 
-State per period (symbol, UTC day of the event): the multiset of values (value ->
-count) and, per record, the version that counts. A row moves its record from the
-old value's count to the new one's; rows after the cut-off are set apart with
-status ``late``. Whenever a period changes, its aggregates are emitted anew from
-the cumulative counts, in time that follows the changes and the distinct values,
-not the records.
+State per period (symbol, UTC day of the event): per record the version that counts.
+A later version of a record takes its place; rows after the cut-off are set apart
+with status ``late``. Whenever rows of a period come, its aggregates are emitted anew.
+
+A symbol's periods of one quarter are worked on together, as arrays, and kept as one
+entry of the state while they have at most SMALL records, then as one entry a day. So
+a call to the state serves many small periods, and what a change writes anew follows
+the records of its period or is bounded by SMALL.
 
 A period is final when the cut-off has passed. With ``lag_hours``, by which a stream
 may run behind the arrival of its rows, the state of a period is let go when nothing
 has changed it for the time a row can take to come in time: the day, the cut-off and
-the lag. That needs a clock, so it is for streams that run on; a trigger that ends
+the lag (small periods that share an entry: nothing has changed any of them). That needs a clock, so it is for streams that run on; a trigger that ends
 when all input is read (``availableNow``) would wait for the clock for ever, and
 state is kept unless a lag is given.
 """
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
@@ -37,61 +40,84 @@ RESULT = "symbol string, day date, status string, n_rows long, n_values long, to
 register_pickle_by_value(sys.modules[__name__])
 
 
+#: Records up to which a symbol's quarter is one entry of the state, and the key of that entry.
+SMALL, WHOLE = 4096, (-1,)
+_RECORD = np.dtype([("ts", "i8"), ("txn", "i8"), ("corr", "?"), ("chunk_id", "i8"), ("row_pos", "i4"), ("value", "f8")])
+_DAY_US, _EPOCH = 86_400_000_000, date(1970, 1, 1)
+
+
+def _latest(held: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Each record's last version in order of time: by arrival, base before correction, chunk and position; what is held stays on a tie."""
+    both = np.concatenate([new, held])
+    both = both[np.lexsort([both[c] for c in ("row_pos", "chunk_id", "corr", "txn", "ts")])]
+    return both[np.append(both["ts"][1:] != both["ts"][:-1], True)] if len(both) else both
+
+
+def _aggregates(records: np.ndarray) -> list[tuple]:
+    """(day, n_rows, n_values, total, median, n_distinct, smallest, largest) of each day in ``records``."""
+    day = records["ts"] // _DAY_US
+    order = np.lexsort((records["value"], day))  # NaN last
+    day, value = day[order], records["value"][order]
+    first = np.append(True, day[1:] != day[:-1])
+    start = np.flatnonzero(first)
+    seen = ~np.isnan(value)
+    n = np.add.reduceat(seen.astype(np.int64), start)
+    changed = seen & (first | np.append(True, value[1:] != value[:-1]))
+    total, distinct = np.add.reduceat(np.where(seen, value, 0.0), start), np.add.reduceat(changed.astype(np.int64), start)
+    at = lambda k: value[np.minimum(start + np.maximum(k, 0), len(value) - 1)]
+    columns = (day[start], np.diff(np.append(start, len(day))), n, total, (at((n - 1) // 2) + at(n // 2)) / 2, distinct, at(n * 0), at(n - 1))
+    return [r if r[2] else (*r[:4], None, 0, None, None) for r in zip(*[c.tolist() for c in columns])]
+
+
 class PeriodProcessor(StatefulProcessor):
-    """One period's multiset; versions of a record are ordered by arrival, base before correction, chunk and position."""
+    """The periods of a symbol's quarter; versions of a record are ordered by arrival, base before correction, chunk and position."""
 
-    def __init__(self, keep_ms: int | None = None):
-        self.keep_ms = keep_ms
+    def __init__(self, keep_ms: int | None = None, small: int = SMALL):
+        self.keep_ms, self.small = keep_ms, small
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = {"ttlDurationMs": self.keep_ms} if self.keep_ms else {}
-        self.records = handle.getMapState("records", "ts long", "txn long, corr boolean, chunk_id long, row_pos int, value double", **ttl)
-        self.counts = handle.getMapState("counts", "value double", "n long", **ttl)
-        self.size = handle.getValueState("size", "n_rows long", **ttl)
-
-    def _add(self, value: float, by: int) -> None:
-        if not by:
-            return
-        key = (value,)
-        n = (self.counts.getValue(key)[0] if self.counts.containsKey(key) else 0) + by
-        if n:
-            self.counts.updateValue(key, (n,))
-        else:
-            self.counts.removeKey(key)
+        self.periods = handle.getMapState("periods", "day int", "records binary", **ttl)
+
+    def _update(self, days: list[int], new: np.ndarray) -> np.ndarray:
+        """The records of ``days`` after ``new`` ones, which the state then has too."""
+        read = lambda kept: np.frombuffer(bytes(kept[0]), _RECORD)
+        kept = self.periods.getValue(WHOLE)
+        by_day = kept is None and self.periods.exists()
+        parts = [read(x) for x in ([kept] if kept is not None else [self.periods.getValue((d,)) for d in days] if by_day else []) if x is not None]
+        records = _latest(np.concatenate([np.empty(0, _RECORD), *parts]), new)
+        day = records["ts"] // _DAY_US
+        if len(new) and not by_day and len(records) <= self.small:
+            self.periods.updateValue(WHOLE, (bytearray(records.tobytes()),))
+        elif len(new):
+            for d in np.unique(day if not by_day else new["ts"] // _DAY_US).tolist():
+                self.periods.updateValue((d,), (bytearray(records[day == d].tobytes()),))
+            if kept is not None:
+                self.periods.removeKey(WHOLE)
+        return records[np.isin(day, days)]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        late = int(frame["late"].sum())
-        # Of a batch only each record's last version can count.
-        last = frame[~frame["late"]].sort_values(["txn", "corr", "chunk_id", "row_pos"]).drop_duplicates("ts", keep="last")
-        n_rows = self.size.get()[0] if self.size.exists() else 0
-        changes: dict[float, int] = {}
-        for ts, txn, corr, chunk_id, row_pos, value in zip(*[last[c] for c in ("ts", "txn", "corr", "chunk_id", "row_pos", "value")]):
-            record, new = (int(ts),), (int(txn), bool(corr), int(chunk_id), int(row_pos), None if value is None or value != value else float(value))
-            if self.records.containsKey(record):
-                old = tuple(self.records.getValue(record))
-                if old[:4] >= new[:4]:
-                    continue
-                if old[4] is not None and old[4] == old[4]:
-                    changes[old[4]] = changes.get(old[4], 0) - 1
-            else:
-                n_rows += 1
-            self.records.updateValue(record, new)
-            if new[4] is not None:
-                changes[new[4]] = changes.get(new[4], 0) + 1
-        for value, by in changes.items():
-            self._add(value, by)
-        if n_rows:
-            self.size.update((n_rows,))
-        held = sorted((k[0], v[0]) for k, v in self.counts.iterator())
-        values, n = np.array([v for v, _ in held]), np.array([c for _, c in held], dtype=np.int64)
-        upto, size = np.cumsum(n), int(n.sum())
-        at = lambda k: float(values[np.searchsorted(upto, k)])
-        middle = (at((size + 1) // 2) + at(size // 2 + 1)) / 2 if size else None
-        out = [] if not n_rows else [(*key, "period", n_rows, size, float((values * n).sum()) if size else 0.0, middle, len(values), values[0] if size else None, values[-1] if size else None)]
-        if late:
-            out.append((*key, "late", late, 0, 0.0, None, 0, None, None))
-        yield pd.DataFrame(out, columns=["symbol", "day", "status", "n_rows", "n_values", "total", "median", "n_distinct", "smallest", "largest"])
+        parts: list[np.ndarray] = []
+        late: dict[int, int] = {}
+        touched: set[int] = set()
+        for frame in rows:
+            is_late, day = frame["late"].to_numpy(bool), frame["day_no"].to_numpy(np.int64)
+            touched.update(day.tolist())
+            for d in day[is_late].tolist():
+                late[d] = late.get(d, 0) + 1
+            part = np.empty(int((~is_late).sum()), _RECORD)
+            for c in _RECORD.names:
+                part[c] = frame[c].to_numpy(_RECORD[c], na_value=np.nan)[~is_late] if c == "value" else frame[c].to_numpy(_RECORD[c])[~is_late]
+            parts.append(part)
+        out = []
+        records = self._update(sorted(touched), np.concatenate(parts))
+        if len(records):
+            out = [(d, "period", *rest) for d, *rest in _aggregates(records)]
+        out += [(d, "late", n, 0, 0.0, None, 0, None, None) for d, n in late.items()]
+        frame = pd.DataFrame(out, columns=["day", "status", "n_rows", "n_values", "total", "median", "n_distinct", "smallest", "largest"])
+        frame["day"] = [_EPOCH + timedelta(days=d) for d in frame["day"]]
+        frame.insert(0, "symbol", key[0])
+        yield frame
 
     def close(self) -> None:
         pass
@@ -102,6 +128,7 @@ def period_stream(chunks: DataFrame, value: str = "volume", cutoff_hours: int =
     rocksdb(chunks.sparkSession)
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     rows = admitted(chunks, cutoff_hours).where("symbol IS NOT NULL AND timestamp IS NOT NULL AND txn IS NOT NULL")
-    rows = rows.select("symbol", "day", us("timestamp").alias("ts"), us("txn").alias("txn"), "corr", "chunk_id", "row_pos", F.col(value).alias("value"), "late")
+    day_no, quarter = F.unix_date("day").alias("day_no"), F.date_trunc("quarter", "day").cast("date").alias("quarter")
+    rows = rows.select("symbol", quarter, day_no, us("timestamp").alias("ts"), us("txn").alias("txn"), "corr", "chunk_id", "row_pos", F.col(value).alias("value"), "late")
     keep = None if lag_hours is None else (24 + cutoff_hours + lag_hours) * 3_600_000
-    return rows.groupBy("symbol", "day").transformWithStateInPandas(PeriodProcessor(keep), outputStructType=RESULT, outputMode="Update", timeMode="None" if keep is None else "ProcessingTime")
+    return rows.groupBy("symbol", "quarter").transformWithStateInPandas(PeriodProcessor(keep), outputStructType=RESULT, outputMode="Update", timeMode="None" if keep is None else "ProcessingTime")
